@@ -7,17 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.exact import exact_groups
+from corvane.llm.packing import pack
+from corvane.llm.storage import shared_folder
+from corvane.llm.token_files import read_digests, write_token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), end_id=2)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    write_token_files(_documents(spark, sf_dir), path, end_id=1)
+    return read_digests(spark, path)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir), keep="max")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
+    "op5_token_files": op5_token_files,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
