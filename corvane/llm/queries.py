@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.decontamination import contamination, contamination_report
 from corvane.llm.exact import exact_groups
+from corvane.llm.language import identify
 from corvane.llm.packing import pack
 from corvane.llm.storage import shared_folder
 from corvane.llm.token_files import read_digests, write_token_files
@@ -36,11 +37,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(found)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
