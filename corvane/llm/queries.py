@@ -10,6 +10,7 @@ from corvane.llm.decontamination import contamination, contamination_report
 from corvane.llm.exact import exact_groups
 from corvane.llm.language import identify
 from corvane.llm.packing import pack
+from corvane.llm.simhash import simhash_groups
 from corvane.llm.storage import shared_folder
 from corvane.llm.token_files import read_digests, write_token_files
 
@@ -18,6 +19,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), end_id=2)
 
@@ -42,6 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
     "op7_exact_dedup": op7_exact_dedup,
