@@ -10,6 +10,7 @@ from corvane.llm.decontamination import contamination, contamination_report
 from corvane.llm.exact import exact_groups
 from corvane.llm.language import identify
 from corvane.llm.packing import pack
+from corvane.llm.secrets import SCAN_SQL, scan, scan_report
 from corvane.llm.simhash import simhash_groups
 from corvane.llm.storage import shared_folder
 from corvane.llm.token_files import read_digests, write_token_files
@@ -37,6 +38,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir), keep="max")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_report(scan(_documents(spark, sf_dir)))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=4)
     return contamination_report(found)
@@ -51,11 +56,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_secrets": SCAN_SQL,
     "op7_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
