@@ -13,6 +13,7 @@ from corvane.llm.packing import pack
 from corvane.llm.secrets import SCAN_SQL, scan, scan_report
 from corvane.llm.simhash import simhash_groups
 from corvane.llm.storage import shared_folder
+from corvane.llm.substrings import removal_report
 from corvane.llm.token_files import read_digests, write_token_files
 
 
@@ -24,6 +25,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(_documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), end_id=2)
 
@@ -53,6 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
     "op7_exact_dedup": op7_exact_dedup,
