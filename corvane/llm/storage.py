@@ -20,12 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation. Nothing needs
+    the step's shuffle files any more; Spark deletes them once the driver's heap is collected,
+    so that is asked for here.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
+    schema = df.schema
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.windows import range_hashes, repeated_spans
+from corvane.llm.windows import Windows, range_hashes, repeated_spans
 
 #: Words of the shortest factor that is a duplicate.
 FACTOR = 13
 
 
-def _seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's number of seeds, runs of ``FACTOR`` words, and the hashes of all seeds in turn."""
-    split = [t.split() for t in texts]
+def _seeds(rows: list[tuple[bytes]]) -> Windows:
+    """All seeds, runs of ``FACTOR`` words, of the texts."""
+    split = [t.split() for (t,) in rows]
     data = np.frombuffer(b" ".join(b" ".join(w) for w in split if w) + b" ", np.uint8)
     stops = np.flatnonzero(data == 32)
     starts = np.append(0, stops[:-1] + 1)
@@ -26,7 +26,7 @@ def _seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.maximum(words - FACTOR + 1, 0)
     firsts = np.cumsum(words) - words  # of each text's words
     at = np.repeat(firsts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    return counts, range_hashes(data, starts[at], stops[at + FACTOR - 1])
+    return Windows(counts, np.empty(0, np.int64), np.arange(len(at)), range_hashes(data, starts[at], stops[at + FACTOR - 1]))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

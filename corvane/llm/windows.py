@@ -8,6 +8,7 @@ answers come back packed by block. Nothing is sent as a row per window.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -65,19 +66,6 @@ def _unpress(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.int64)
 
 
-class Block:
-    """Documents of a block with the hashes of their windows, one document after the other."""
-
-    def __init__(self, ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> None:
-        self.ids, self.keys, self.hashes = ids, keys, hashes
-        self.bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(ids)), counts)
-
-    def settled(self) -> np.ndarray:
-        """Windows that also start in an earlier document of this block."""
-        return _later(self.hashes, self.ids[self.doc])
-
-
 def _later(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Whether each hash also stands at a smaller identifier."""
     order = np.argsort(hashes, kind="stable")
@@ -89,83 +77,126 @@ def _later(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-_SENT = "bucket int, block long, ids binary, keys binary, bounds binary, places binary, hashes binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64())] + [(c, pa.binary()) for c in ("ids", "keys", "bounds", "places", "hashes")])
+_SENT = "bucket int, block long, ids binary, keys binary, bounds binary, places binary, codes binary"
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64())] + [(c, pa.binary()) for c in ("ids", "keys", "bounds", "places", "codes")])
+_TOLD = "block long, keys binary, bounds binary, kind int, places binary"
+#: Kinds of answer: a place whose window starts earlier too, and one that must be looked at window by window.
+LATER, CHECK = 0, 1
+
+
+class Windows(NamedTuple):
+    """The windows of a batch of documents that are to be looked up."""
+
+    counts: np.ndarray  #: places of each document, whether looked up or not
+    settled: np.ndarray  #: places known to start earlier, over all documents in turn
+    open: np.ndarray  #: places to look up, likewise
+    codes: np.ndarray  #: their hashes
+    parts: np.ndarray | None = None  #: second hashes, compared only among equal first ones
+
+
+Hasher = Callable[[list[tuple]], Windows]
 
 
-def _sent(block: Block, number: int, ranges: int) -> pa.RecordBatch:
-    settled = block.settled()
-    ids, bounds = _press(block.ids), _press(block.bounds)
-    # a negative bucket: the block itself, with the windows that are settled already
-    rows = [(-1 - number % 0x3FFFFFFF, number, ids, _press(block.keys), bounds, _press(np.flatnonzero(settled)), b"")]
-    open_ = np.flatnonzero(~settled)
-    hashes = block.hashes[open_]
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+def _sent(number: int, ids: list[int], keys: list[int], found: Windows, ranges: int) -> pa.RecordBatch:
+    bounds = np.concatenate([[0], np.cumsum(found.counts)]).astype(np.int64)
+    owners = np.array(ids)[np.searchsorted(bounds, found.open, side="right") - 1] if len(found.open) else np.empty(0, np.int64)
+    whole = found.codes if found.parts is None else found.codes ^ (found.parts * np.uint64(_BASE))
+    here = _later(whole, owners)  # settled within the block
+    settled = np.sort(np.concatenate([found.settled, found.open[here]]))
+    pressed = _press(np.array(ids)), _press(bounds)
+    # a negative bucket: the block itself, with the places that are settled already
+    rows = [(-1 - number % 0x3FFFFFFF, number, pressed[0], _press(np.array(keys)), pressed[1], _press(settled), b"")]
+    places, codes = found.open[~here], found.codes[~here]
+    bucket = ((codes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(ranges + 1))
-    low = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]  # the range has the rest
-    if ranges < 256:
-        low = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    parts = [] if found.parts is None else [_bytes(found.parts[~here], 5)]
+    packed = np.concatenate([_bytes(codes, _width(ranges)), *parts], axis=1)
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         mine = order[cuts[k] : cuts[k + 1]]
-        rows.append((k, number, ids, b"", bounds, _press(open_[mine]), low[mine].tobytes()))
+        rows.append((k, number, pressed[0], b"", pressed[1], _press(places[mine]), packed[mine].tobytes()))
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
 
 
-Hasher = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+def _width(ranges: int) -> int:
+    """Bytes of a hash that are sent; from 256 ranges on, the range has the rest."""
+    return 7 if ranges >= 256 else 8
+
+
+def _bytes(values: np.ndarray, width: int) -> np.ndarray:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _integers(packed: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(packed), 8), np.uint8)
+    wide[:, : packed.shape[1]] = packed
+    return wide.view("<u8").ravel()
 
 
 def send(docs: DataFrame, hasher: Hasher, ranges: int) -> DataFrame:
-    """Blocks of ``docs`` (doc_id, key, text) with their window hashes by range; ``hasher`` gives each text's number of windows and all hashes in turn."""
+    """Blocks of ``docs`` (doc_id, key, text and whatever else the hasher takes) with their windows by range of hashes."""
 
     def sender(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        ids, keys, texts, size = [], [], [], 0
+        ids, keys, rows, size = [], [], [], 0
         for b in batches:
-            for doc, key, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, key, text, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids.append(NULL_ID if doc is None else doc)
                 keys.append(key)
-                texts.append((text or "").encode("utf-8", "surrogatepass"))
-                size += len(texts[-1])
+                rows.append(((text or "").encode("utf-8", "surrogatepass"), *more))
+                size += len(rows[-1][0])
                 if size >= BLOCK_BYTES:
-                    yield _sent(Block(np.array(ids), np.array(keys), *hasher(texts)), number, ranges)
-                    number, ids, keys, texts, size = number + 1, [], [], [], 0
+                    yield _sent(number, ids, keys, hasher(rows), ranges)
+                    number, ids, keys, rows, size = number + 1, [], [], [], 0
         if ids:
-            yield _sent(Block(np.array(ids), np.array(keys), *hasher(texts)), number, ranges)
+            yield _sent(number, ids, keys, hasher(rows), ranges)
 
     return docs.mapInArrow(sender, _SENT)
 
 
-def answer(sent: DataFrame) -> DataFrame:
-    """block, keys, bounds and places: the blocks themselves, and of each range the sent windows that also start in a document of another block with a smaller identifier."""
+def _by_code(codes: np.ndarray, parts: np.ndarray | None, ids: np.ndarray) -> list[np.ndarray]:
+    """Which entries are later, and which to check: the first of their part, where other parts share the code."""
+    if parts is None:
+        return [_later(codes, ids)]
+    order = np.lexsort((ids, parts, codes))
+    c, p, d = codes[order], parts[order], ids[order]
+    new_code = np.append(True, c[1:] != c[:-1])
+    new_part = new_code | np.append(True, p[1:] != p[:-1])
+    least = d[np.flatnonzero(new_part)][np.cumsum(new_part) - 1]
+    several = np.add.reduceat(new_part.astype(np.int64), np.flatnonzero(new_code))[np.cumsum(new_code) - 1] > 1
+    later, check = np.empty(len(c), bool), np.empty(len(c), bool)
+    later[order], check[order] = d > least, (d == least) & several
+    return [later, check]
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        parts = []
-        for block, ids, bounds, places, hashes in rows:
-            at, table = _unpress(places), _unpress(ids)
-            width = len(hashes) // len(at)
-            wide = np.zeros((len(at), 8), np.uint8)
-            wide[:, :width] = np.frombuffer(hashes, np.uint8).reshape(-1, width)
-            parts.append((block, at, wide.view("<u8").ravel(), table[np.searchsorted(_unpress(bounds), at, side="right") - 1]))
-        later = _later(np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))
-        found, i = [], 0
-        for block, at, *_ in parts:
-            hit = at[later[i : i + len(at)]]
-            i += len(at)
-            if len(hit):
-                found.append((block, _press(hit)))
-        return told([(block, None, None, places) for block, places in found])
+
+def answer(sent: DataFrame, ranges: int) -> DataFrame:
+    """The blocks themselves, and of each range the places of every block that are LATER or to CHECK."""
 
     def told(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["block", "keys", "bounds", "places"])
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["block", "keys", "bounds", "kind", "places"])
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        blocks, at, codes, parts, ids = [], [], [], [], []
+        for block, table, bounds, places, packed in rows:
+            blocks.append(block)
+            at.append(_unpress(places))
+            bytes_ = np.frombuffer(packed, np.uint8).reshape(len(at[-1]), -1)
+            codes.append(_integers(bytes_[:, : _width(ranges)]))
+            parts.append(_integers(bytes_[:, _width(ranges) :]) if bytes_.shape[1] > _width(ranges) else None)
+            ids.append(_unpress(table)[np.searchsorted(_unpress(bounds), at[-1], side="right") - 1])
+        two = parts[0] is not None
+        found = _by_code(np.concatenate(codes), np.concatenate(parts) if two else None, np.concatenate(ids))
+        cuts = np.cumsum([0, *map(len, at)]).tolist()
+        hits = [(block, None, None, kind, at[n][mask[cuts[n] : cuts[n + 1]]]) for kind, mask in enumerate(found) for n, block in enumerate(blocks)]
+        return told([(*h[:4], _press(h[4])) for h in hits if len(h[4])])
 
     def answerer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for b in batches:
-            for bucket, block, ids, keys, *row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            for bucket, block, ids, keys, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket < 0:
-                    yield told([(block, keys, *row[:2])])
+                    yield told([(block, keys, row[0], LATER, row[1])])
                     continue
                 if bucket != now and rows:
                     yield solve(rows)
@@ -175,46 +206,64 @@ def answer(sent: DataFrame) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answerer, "block long, keys binary, bounds binary, places binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answerer, _TOLD)
 
 
-def repeated_spans(docs: DataFrame, hasher: Hasher, window: int, windows_in_all: int) -> DataFrame:
-    """key and spans (start and stop in turn) of the units covered by windows that also start in an earlier document.
+def _by_document(told: DataFrame, make: Callable[[list[np.ndarray]], list[list[int]]], columns: list[str]) -> DataFrame:
+    """key and what ``make`` gives for each document that has places; it gets their places of each kind, from 0 on."""
 
-    ``docs`` has doc_id, key and text; rows of one key have the same text and identifier, and get
-    one answer. Keys without such windows are absent. ``windows_in_all`` sets the number of ranges.
-    """
-    every = answer(send(docs, hasher, max(8, -(-windows_in_all // RANGE_WINDOWS))))
-
-    def collect(keys: bytes, bounds: bytes, places: list[bytes]) -> list[tuple[int, list[int]]]:
+    def documents(keys: bytes, bounds: bytes, places: dict[int, list[bytes]]) -> pa.RecordBatch:
         names, ends = _unpress(keys), _unpress(bounds)
-        at = np.unique(np.concatenate([_unpress(p) for p in places]))
-        out = []
-        docs_, firsts = np.unique(np.searchsorted(ends, at, side="right") - 1, return_index=True)
-        for d, i, j in zip(docs_.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(at)], strict=True):
-            mine = at[i:j] - ends[d]
-            breaks = np.flatnonzero(np.diff(mine) > window)
-            starts, stops = mine[np.append(0, breaks + 1)], mine[np.append(breaks, len(mine) - 1)] + window
-            out.append((int(names[d]), np.column_stack([starts, stops]).ravel().tolist()))
-        return out
+        at = [np.unique(np.concatenate([_unpress(p) for p in places[k]])) if places[k] else np.empty(0, np.int64) for k in (LATER, CHECK)]
+        owner = [np.searchsorted(ends, x, side="right") - 1 for x in at]
+        rows = []
+        for d in np.unique(np.concatenate(owner)).tolist():
+            mine = [x[slice(*np.searchsorted(o, [d, d + 1]))] - ends[d] for x, o in zip(at, owner, strict=True)]
+            rows.append((int(names[d]), *make(mine)))
+        types = [pa.int64()] + [pa.list_(pa.int32())] * len(columns)
+        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["key", *columns])
 
     def collector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, table, places = None, None, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if table is not None:
-                found = collect(*table, places)
-                yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["key", "spans"])
-
+        now, table, places = None, None, {LATER: [], CHECK: []}
         for b in batches:
-            for block, keys, bounds, held in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for block, keys, bounds, kind, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if block != now:
-                    yield from close()
-                    now, table, places = block, None, []
+                    if table is not None:
+                        yield documents(*table, places)
+                    now, table, places = block, None, {LATER: [], CHECK: []}
                 if keys is not None:
                     table = (keys, bounds)
-                places.append(held)
-        yield from close()
+                places[kind].append(held)
+        if table is not None:
+            yield documents(*table, places)
+
+    schema = ", ".join(["key long", *(f"{c} array<int>" for c in columns)])
+    found = told.repartition("block").sortWithinPartitions("block").mapInArrow(collector, schema)
+    return stored(found.groupBy("key").agg(*[F.first(c).alias(c) for c in columns]))
+
+
+def ranges_for(windows: int) -> int:
+    return max(8, -(-windows // RANGE_WINDOWS))
+
+
+def repeated_spans(docs: DataFrame, hasher: Hasher, window: int, windows: int) -> DataFrame:
+    """key and spans (start and stop in turn) of the units covered by windows that also start in an earlier document.
+
+    ``docs`` has doc_id, key and text; rows of one key have the same text and identifier, and get
+    one answer. Keys without such windows are absent. ``windows`` says about how many are sent.
+    """
+
+    def spans(places: list[np.ndarray]) -> list[list[int]]:
+        at = places[LATER]
+        breaks = np.flatnonzero(np.diff(at) > window)
+        starts, stops = at[np.append(0, breaks + 1)], at[np.append(breaks, len(at) - 1)] + window
+        return [np.column_stack([starts, stops]).ravel().tolist()]
+
+    ranges = ranges_for(windows)
+    return _by_document(answer(send(docs, hasher, ranges), ranges), spans, ["spans"])
+
 
-    spans = every.repartition("block").sortWithinPartitions("block").mapInArrow(collector, "key long, spans array<int>")
-    return stored(spans.groupBy("key").agg(F.first("spans").alias("spans")))
+def sorted_places(docs: DataFrame, hasher: Hasher, windows: int) -> DataFrame:
+    """key, later and check: the places of each document by kind, for a hasher with parts."""
+    ranges = ranges_for(windows)
+    return _by_document(answer(send(docs, hasher, ranges), ranges), lambda places: [p.tolist() for p in places], ["later", "check"])
