@@ -14,6 +14,7 @@ from corvane.llm.secrets import SCAN_SQL, scan, scan_report
 from corvane.llm.simhash import simhash_groups
 from corvane.llm.storage import shared_folder
 from corvane.llm.substrings import removal_report
+from corvane.llm.suffixes import string_report
 from corvane.llm.token_files import read_digests, write_token_files
 
 
@@ -39,6 +40,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_report(_documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir), keep="max")
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
