@@ -26,7 +26,7 @@ FORMAT = {
     "parquet.page.row.count.limit": "1000",
 }
 #: Tokens in an Arrow batch that a worker hands over.
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 250_000
 _FILE_COLUMNS = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 import os
 import re
-import struct
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words and pieces that a worker remembers; the cache starts anew beyond this.
-CACHE_ENTRIES = 700_000
+#: Words that a worker remembers in each of two generations, and pieces likewise.
+CACHE_ENTRIES = 200_000
 #: Characters encoded together, which bounds what a worker holds at a time.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 _PIECES = re.compile(r"[^\W\d_]+|[\W\d_]+")
-#: Letters whose lower case is one letter, whatever stands beside them.
-_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
+#: Beyond these, a letter's lower case can depend on others, or a text may not be in composed form.
+_OTHER_LETTERS = re.compile(r"[^\x00-\u012f\u0131-\u0148\u014a-\u017e]")
 _WORKER: dict[str, "Encoder"] = {}
 
 
@@ -34,67 +32,82 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(others)}
 
 
+class Memory:
+    """Ids by text; entries unused while a whole generation filled up are forgotten."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def missing(self, texts: set[str]) -> set[str]:
+        """The texts that are not known; those that are can be found in ``new`` until the next call."""
+        if len(self.new) > CACHE_ENTRIES:
+            self.new, self._old = {}, self.new
+        texts = texts - self.new.keys()
+        again = texts & self._old.keys()
+        self.new.update((t, self._old[t]) for t in again)
+        return texts - again
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes.
 
-    Where the tokenizer drops white space (tested once on load), a text is the
-    concatenation of its words, and a word without apostrophes in composed form is the
-    concatenation of its runs of letters and of others; so both are remembered. Runs of Latin
-    letters go to the library's model in lower case and byte letters, as its own first steps
-    would leave them (tested on load too); all else goes through the whole library. Any other
-    tokenizer gets whole texts.
+    Where the tokenizer drops white space and case (tested once on load), a text of Latin
+    letters is the concatenation of its lower-cased words, and a word without apostrophes that
+    of its runs of letters and of others; so both are remembered. Runs of letters go straight
+    to the library's model, many at a time, as byte letters, which is what its own first steps
+    would make of them (tested on load too); all else goes through the whole library. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._library = Tokenizer.from_file(path)
-        self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-        self._model = self._library.model
+        self._bare = Tokenizer(self._library.model)
+        self._bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        closing = {i for t, i in self._library.get_vocab().items() if t.endswith("</w>")}
+        self._closing = np.array([i in closing for i in range(self._library.get_vocab_size())])
         self._letters = _byte_letters()
-        a, b, both = self._encode(["Onion,", "tree.", "Onion, tree.\n"])
-        self._by_word = a + b == both
-        self._direct = self._by_word and all(self._run(w) == self._encode([w])[0] for w in ("Onion", "Forêt", "ŒUVRE", "straße"))
+        self._words, self._pieces = Memory(), Memory()
+        a, b, both = self._encode(["Onion,", "tree.", "onion, tree.\n"])
+        self._by_word = a + b == both and self._runs(["onion", "forêt", "œuvre"]) == self._encode(["Onion", "Forêt", "ŒUVRE"])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _run(self, letters: str) -> bytes:
-        low = letters.lower()
-        if not low.isascii():
-            low = low.encode().decode("latin-1").translate(self._letters)
-        return struct.pack(f"<{len(found := self._model.tokenize(low))}I", *[t.id for t in found])
+    def _runs(self, low: list[str]) -> list[bytes]:
+        """Ids of runs of lower-case Latin letters, each of which ends with the only token that closes a word."""
+        plain = " ".join(low)
+        if not plain.isascii():
+            plain = " ".join(x if x.isascii() else x.encode().decode("latin-1").translate(self._letters) for x in low)
+        ids = np.asarray(self._bare.encode_batch_fast([plain], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (4 * (np.flatnonzero(self._closing[ids]) + 1)).tolist()
+        if len(cuts) != len(low):
+            return self._encode(low)
+        joined = ids.tobytes()
+        return [joined[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
 
     def _learn(self, words: set[str]) -> None:
-        if len(self._words) + len(words) > CACHE_ENTRIES:
-            self._words.clear()
-        if len(self._pieces) > CACHE_ENTRIES:
-            self._pieces.clear()
-        split = {}
-        for w in words:
-            plain = "'" not in w and (w.isascii() or unicodedata.is_normalized("NFC", w))
-            split[w] = _PIECES.findall(w) if plain else [w]
-        new = list({p for pieces in split.values() for p in pieces} - self._pieces.keys())
-        if self._direct:
-            self._pieces.update((p, self._run(p)) for p in new if _LATIN.fullmatch(p))
-            new = [p for p in new if p not in self._pieces]
-        self._pieces.update(zip(new, self._encode(new), strict=True))
-        known = self._pieces.__getitem__
-        self._words.update((w, b"".join(map(known, pieces))) for w, pieces in split.items())
+        split = {w: [w] if "'" in w else _PIECES.findall(w) for w in words}
+        new = self._pieces.missing({p for pieces in split.values() for p in pieces})
+        known, letters = self._pieces.new, [p for p in new if p.isalpha()]
+        known.update(zip(letters, self._runs(letters), strict=True))
+        rest = [p for p in new if p not in known]
+        known.update(zip(rest, self._encode(rest), strict=True))
+        get = known.__getitem__
+        self._words.new.update((w, get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))) for w, pieces in split.items())
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if not self._by_word:
             return self._encode(texts)
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*words)
-        if len(self._words) + len(every) > CACHE_ENTRIES:
-            self._words.clear()
-        self._learn(every - self._words.keys())
-        known = self._words.__getitem__
-        return [b"".join(map(known, w)) for w in words]
+        words = [t.lower().replace("\n", " ").split(" ") if t.isascii() or not _OTHER_LETTERS.search(t) else None for t in texts]
+        self._learn(self._words.missing(set().union(*(w for w in words if w))))
+        whole = [i for i, w in enumerate(words) if w is None]
+        found = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
+        get = self._words.new.__getitem__
+        return [found[i] if w is None else b"".join(map(get, w)) for i, w in enumerate(words)]
 
 
 def encoder(path: str) -> Encoder:

@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from corvane.queries import analytics, conversations, indexing, jobs, provenance, relational, search  # noqa: E402, F401
+from corvane.queries import analytics, conversations, indexing, jobs, provenance, relational, search, sources  # noqa: E402, F401
