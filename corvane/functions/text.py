@@ -95,10 +95,10 @@ def scrub_nul(text: Column) -> Column:
 
 def head(text: Column, most: int = 512) -> Column:
     """struct(head, total_bytes, truncated): at most ``most`` bytes, cut between characters."""
-    size = F.octet_length(text)
-    # a cut character leaves the replacement mark at the end, which the cut then loses
-    cut = F.decode(F.substring(F.encode(text, "utf-8"), 1, most), "utf-8")
-    whole = F.when(size <= most, text).otherwise(F.regexp_replace(cut, "�+$", ""))
+    size, data = F.octet_length(text), F.encode(text, "utf-8")
+    inside = lambda n: F.hex(F.substring(data, n + 1, 1)).between("80", "BF")  # noqa: E731  whether a cut after n bytes splits a character
+    at = F.when(~inside(most), most).when(~inside(most - 1), most - 1).when(~inside(most - 2), most - 2).otherwise(most - 3)
+    whole = F.when(size <= most, text).otherwise(F.decode(F.substring(data, F.lit(1), at), "utf-8"))
     return F.struct(whole.alias("head"), size.alias("total_bytes"), (size > most).alias("truncated"))
 
 

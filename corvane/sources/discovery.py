@@ -29,7 +29,11 @@ def verdicts(files: DataFrame, include_hidden: bool = False, largest: int = LARG
 
 
 def discover(spark: SparkSession, root: str, include_hidden: bool = False) -> DataFrame:
-    """path (below the root), length, family, blob_sha and skip_reason of every file of a tree."""
+    """path (below the root), length, family, blob_sha and skip_reason of every file of a tree.
+
+    Spark's reader lists no empty files and no names that start with a dot or underscore; rows for
+    those can come from another listing through :func:`verdicts`.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     below = F.regexp_replace("path", rf"^(file:)?/*{root.strip('/')}/", "")
     return verdicts(files.select(below.alias("path"), "length", "content"), include_hidden).drop("content")

@@ -11,11 +11,13 @@ from corvane.sources import discovery, logs, snapshots
 
 
 def test_discovery(spark, tmp_path):
-    for name, data in {"a.py": b"x = 1\n", "b.json": b"{}", "c.rs": b"\0\1", "d.xyz": b"?", "e.md": b"", ".hid/f.py": b"y", "node_modules/g.js": b"z", "sub/h.py": b"w"}.items():
+    for name, data in {"a.py": b"x = 1\n", "b.json": b"{}", "c.rs": b"\0\1", "d.xyz": b"?", "node_modules/g.js": b"z", "sub/h.py": b"w"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     got = {r.path: r.skip_reason for r in discovery.discover(spark, str(tmp_path)).collect()}
-    assert got == {"a.py": None, "b.json": "config-format", "c.rs": "binary", "d.xyz": "unsupported-extension", "e.md": "too-small", ".hid/f.py": "hidden", "node_modules/g.js": "pruned", "sub/h.py": None}
+    assert got == {"a.py": None, "b.json": "config-format", "c.rs": "binary", "d.xyz": "unsupported-extension", "node_modules/g.js": "pruned", "sub/h.py": None}
+    listed = spark.createDataFrame([("e.md", 0, b""), (".hid/f.py", 1, b"y")], "path string, length long, content binary")
+    assert {r.path: r.skip_reason for r in discovery.verdicts(listed).collect()} == {"e.md": "too-small", ".hid/f.py": "hidden"}
 
 
 def test_messages_merge_and_resume(spark):
