@@ -81,22 +81,25 @@ def candidates(index: DataFrame, terms: list[str]) -> DataFrame:
     return found.select("id")
 
 
-@F.pandas_udf("array<float>")
-def embed(texts: pd.Series) -> pd.Series:
-    """A deterministic unit vector of a text: its words' hashes add or take one in a place each."""
+def embed(column: str) -> Column:
+    """A deterministic unit vector of a text: its words' hashes add or take one in a place each. It stands in for a model."""
     import zlib
 
     import numpy as np
 
-    out = []
-    for text in texts:
-        v = np.zeros(WIDTH, np.float32)
-        for word in (text or "").lower().split():
-            h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-            v[h % WIDTH] += 1 if h >> 16 & 1 else -1
-        n = np.linalg.norm(v)
-        out.append((v / n if n else v).tolist())
-    return pd.Series(out)
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            v = np.zeros(WIDTH, np.float32)
+            for word in (text or "").lower().split():
+                h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+                v[h % WIDTH] += 1 if h >> 16 & 1 else -1
+            n = np.linalg.norm(v)
+            out.append((v / n if n else v).tolist())
+        return pd.Series(out)
+
+    return vectors(F.col(column))
 
 
 def batches(items: DataFrame, group: list[str], size: str, cap: int) -> DataFrame:
