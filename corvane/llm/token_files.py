@@ -19,6 +19,7 @@ from corvane.llm.tokens import default_vocabulary, encoded
 #: lengths alone, skip the rest through the page index, which Parquet writes by default.
 FORMAT = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "true",
     "parquet.block.size": str(32 << 20),

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words that a worker remembers in each of two generations, and pieces likewise.
-CACHE_ENTRIES = 200_000
+#: Pieces of words that a worker remembers in each of two generations.
+CACHE_ENTRIES = 400_000
 #: Characters encoded together, which bounds what a worker holds at a time.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 3_000_000
 
 _PIECES = re.compile(r"[^\W\d_]+|[\W\d_]+")
 #: Beyond these, a letter's lower case can depend on others, or a text may not be in composed form.
 _OTHER_LETTERS = re.compile(r"[^\x00-\u012f\u0131-\u0148\u014a-\u017e]")
+#: Marks side by side, which are one piece, and the underscore, which is a mark as well.
+_JOINED = re.compile(r"[^\w\s][^\w\s]|_|'")
+_TRIED = ("Onion", "Forêt", "ŒUVRE", "straße")
 _WORKER: dict[str, "Encoder"] = {}
 
 
@@ -43,10 +47,10 @@ class Memory:
         """The texts that are not known; those that are can be found in ``new`` until the next call."""
         if len(self.new) > CACHE_ENTRIES:
             self.new, self._old = {}, self.new
-        texts = texts - self.new.keys()
-        again = texts & self._old.keys()
-        self.new.update((t, self._old[t]) for t in again)
-        return texts - again
+        new, old = self.new, self._old
+        texts = {t for t in texts if t not in new}
+        new.update((t, old[t]) for t in texts if t in old)
+        return {t for t in texts if t not in old}
 
 
 class Encoder:
@@ -54,60 +58,57 @@ class Encoder:
 
     Where the tokenizer drops white space and case (tested once on load), a text of Latin
     letters is the concatenation of its lower-cased words, and a word without apostrophes that
-    of its runs of letters and of others; so both are remembered. Runs of letters go straight
-    to the library's model, many at a time, as byte letters, which is what its own first steps
-    would make of them (tested on load too); all else goes through the whole library. Any other tokenizer gets whole texts.
+    of its runs of letters and of others; those are remembered. Runs of letters go straight
+    to the library's model as byte letters, which is what its own first steps would make of
+    them (tested on load too); all else goes through the whole library. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._bare = Tokenizer(self._library.model)
-        self._bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        closing = {i for t, i in self._library.get_vocab().items() if t.endswith("</w>")}
-        self._closing = np.array([i in closing for i in range(self._library.get_vocab_size())])
+        self._model = self._library.model
         self._letters = _byte_letters()
-        self._words, self._pieces = Memory(), Memory()
+        self._pieces = Memory()
         a, b, both = self._encode(["Onion,", "tree.", "onion, tree.\n"])
-        self._by_word = a + b == both and self._runs(["onion", "forêt", "œuvre"]) == self._encode(["Onion", "Forêt", "ŒUVRE"])
+        self._by_word = a + b == both and [self._run(w.lower()) for w in _TRIED] == self._encode(list(_TRIED))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _runs(self, low: list[str]) -> list[bytes]:
-        """Ids of runs of lower-case Latin letters, each of which ends with the only token that closes a word."""
-        plain = " ".join(low)
-        if not plain.isascii():
-            plain = " ".join(x if x.isascii() else x.encode().decode("latin-1").translate(self._letters) for x in low)
-        ids = np.asarray(self._bare.encode_batch_fast([plain], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = (4 * (np.flatnonzero(self._closing[ids]) + 1)).tolist()
-        if len(cuts) != len(low):
-            return self._encode(low)
-        joined = ids.tobytes()
-        return [joined[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        split = {w: [w] if "'" in w else _PIECES.findall(w) for w in words}
-        new = self._pieces.missing({p for pieces in split.values() for p in pieces})
-        known, letters = self._pieces.new, [p for p in new if p.isalpha()]
-        known.update(zip(letters, self._runs(letters), strict=True))
+    def _run(self, low: str) -> bytes:
+        """Ids of a run of lower-case Latin letters."""
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self._letters)
+        found = self._model.tokenize(low)
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def _learn(self, pieces: set[str]) -> None:
+        new, known = self._pieces.missing(pieces), self._pieces.new
+        known.update((p, self._run(p)) for p in new if p.isalpha())
         rest = [p for p in new if p not in known]
         known.update(zip(rest, self._encode(rest), strict=True))
-        get = known.__getitem__
-        self._words.new.update((w, get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))) for w, pieces in split.items())
+
+    def _split(self, text: str) -> list[str] | None:
+        """A text's pieces and, between some of them, nothing; None for a text that the library takes whole."""
+        if not text.isascii() and _OTHER_LETTERS.search(text):
+            return None
+        low = text.lower().replace("\n", " ")
+        if not _JOINED.search(low):  # a comma or full stop is a piece of its own
+            return low.replace(",", " , ").replace(".", " . ").split(" ")
+        return [p for w in low.split(" ") for p in ([w] if w.isalpha() or "'" in w else _PIECES.findall(w))]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if not self._by_word:
             return self._encode(texts)
-        words = [t.lower().replace("\n", " ").split(" ") if t.isascii() or not _OTHER_LETTERS.search(t) else None for t in texts]
-        self._learn(self._words.missing(set().union(*(w for w in words if w))))
-        whole = [i for i, w in enumerate(words) if w is None]
+        pieces = [self._split(t) for t in texts]
+        self._learn(set().union(*(p for p in pieces if p)))
+        whole = [i for i, p in enumerate(pieces) if p is None]
         found = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
-        get = self._words.new.__getitem__
-        return [found[i] if w is None else b"".join(map(get, w)) for i, w in enumerate(words)]
+        get = self._pieces.new.__getitem__
+        return [found[i] if p is None else b"".join(map(get, p)) for i, p in enumerate(pieces)]
 
 
 def encoder(path: str) -> Encoder:
