@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.llm.decontamination import contamination, contamination_report
 from corvane.llm.exact import exact_groups
 from corvane.llm.language import identify
+from corvane.llm.lines import line_report
 from corvane.llm.packing import pack
 from corvane.llm.secrets import SCAN_SQL, scan, scan_report
 from corvane.llm.simhash import simhash_groups
@@ -30,6 +31,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(_documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), end_id=2)
 
@@ -64,6 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
     "op6_suffix_dedup": op6_suffix_dedup,
