@@ -12,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from corvane.llm import components, decontamination, exact, language, packing, secrets, simhash, substrings, suffixes, token_files, tokens
+from corvane.llm import components, decontamination, exact, language, lines, packing, secrets, simhash, substrings, suffixes, token_files, tokens
 from corvane.llm import queries as llm
 from corvane.llm.storage import shared_folder, stored
 
@@ -163,12 +163,72 @@ def test_long_texts_are_hashed_in_stretches(monkeypatch):
     monkeypatch.setattr(suffixes, "STRETCH", 300)
     texts = [b"ab c" * 200, b"", b"x" * 49, b"x" * 50, bytes(range(256)) * 4]
     data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
-    first, last, anchor = suffixes._phrases(data, ends)
+    p = suffixes.Phrases(data, ends)
+    first, last, anchor = p.first, p.last, p.anchor
     covered = sorted(p for i, j in zip(first, last, strict=True) for p in range(i, j + 1))
     assert covered == [e - len(t) + k for e, t in zip(ends, texts, strict=True) for k in range(len(t) - 49)]
     assert all(j <= a <= i + 26 or a >= j for i, j, a in zip(first, last, anchor, strict=True)) and (anchor <= first + 26).all()
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def lines_by_hand(docs):
+    plain = lambda x: re.sub(r"\s+", " ", x.lower(), flags=re.ASCII).strip(" ")
+    order = lambda i: -1 if i is None else i
+    first = {}
+    for i, t in docs:
+        for k, x in enumerate([] if t is None else t.split("\n")):
+            if n := plain(x):
+                first[n] = min(first.get(n, (order(i), k)), (order(i), k))
+    names = list(first)
+    prints = []
+    for n in names:
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in n.split(" ")]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    group = {n: n for n in names}
+
+    def root(n):
+        while group[n] != n:
+            n = group[n]
+        return n
+
+    all_prints = np.array(prints, "<u8")
+    for x, n in enumerate(names):
+        for y in np.flatnonzero(np.bitwise_count(all_prints[:x] ^ all_prints[x]) <= 3):
+            m = names[y]
+            if 1 - edits(n, m) / max(len(n), len(m)) >= 0.8:
+                group[root(n)] = root(m)
+    least = {}
+    for n in names:
+        least[root(n)] = min(least.get(root(n), first[n]), first[n])
+    out = []
+    for i, t in docs:
+        every = [] if t is None else t.split("\n")
+        kept = [x for k, x in enumerate(every) if not plain(x) or least[root(plain(x))] == (order(i), k)]
+        filled = sum(1 for x in kept if plain(x))
+        out.append((i, len(every), len(every) - len(kept), filled, hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_lines(spark, awkward, documents):
+    assert rows_of(llm.op3_line_dedup(spark, FOLDER)) == lines_by_hand(documents)
+    base = "the quick brown fox jumps over the lazy dog while seven wizards box with five jugs of ale at noon on every sunny day in may"
+    variants = [base, base.replace("fox", "cat"), base.replace("dog", "hog"), base.upper() + "  ", base + " x", "other words altogether here", base.replace("five", "6")]
+    near = [(50 + n, f"{v}\n\n{variants[n // 2]}\nown line {n * 7919}") for n, v in enumerate(variants)]
+    short = [r[:2] for r in AWKWARD if r[0] != 7] + near
+    got = rows_of(lines.line_report(spark.createDataFrame(short, "doc_id long, text string")))
+    assert got == lines_by_hand(short) and sum(r[2] for r in got) > 6
+    assert lines.line_report(awkward).count() == len(AWKWARD) and lines.line_report(awkward.limit(0)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(tokens.default_vocabulary())
