@@ -206,7 +206,8 @@ def answer(sent: DataFrame, ranges: int) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answerer, _TOLD)
+    # as many partitions as ranges, so that a task's share does not grow with the input
+    return sent.repartition(ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(answerer, _TOLD)
 
 
 def _by_document(told: DataFrame, make: Callable[[list[np.ndarray]], list[list[int]]], columns: list[str]) -> DataFrame:
