@@ -24,31 +24,38 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
 
 
-def line_bits(line: Column) -> Column:
-    """SimHash of a line's words: a bit is 1 where more than half of the words' hashes have it."""
-    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    shifts = range(_LANE)
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{b}") for b in shifts], F.lit(0).cast("long").alias("top"))
+def _votes(h: Column) -> list[Column]:
+    """Sums over words that count each bit of their hashes, three bits to a sum."""
+    lanes = [F.sum(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(_LANES))).alias(f"c{b}") for b in range(_LANE)]
+    return [*lanes, F.sum(F.shiftrightunsigned(h, 63)).alias("top"), F.count("*").alias("words")]
 
-    def count(sums: Column, h: Column) -> Column:
-        lanes = [(sums[f"c{b}"] + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(_LANES))).alias(f"c{b}") for b in shifts]
-        return F.struct(*lanes, (sums["top"] + F.shiftrightunsigned(h, 63)).alias("top"))
 
-    def vote(sums: Column) -> Column:
-        half, out = F.size(hashes), F.lit(0).cast("long")
-        for b in shifts:
-            for lane in range(3):
-                n = F.shiftrightunsigned(sums[f"c{b}"], lane * _LANE).bitwiseAND(F.lit((1 << _LANE) - 1))
-                out = out + F.when(2 * n > half, F.lit(1 << (b + lane * _LANE))).otherwise(F.lit(0)).cast("long")
-        return out + F.when(2 * sums["top"] > half, F.lit(-(1 << 63))).otherwise(F.lit(0)).cast("long")
+def _majority() -> Column:
+    """The bits that more than half of the counted words have."""
+    set_ = lambda n, bit: F.when(2 * n > F.col("words"), F.lit(bit)).otherwise(F.lit(0)).cast("long")
+    out = set_(F.col("top"), -(1 << 63))
+    for b in range(_LANE):
+        for lane in range(3):
+            out = out + set_(F.shiftrightunsigned(F.col(f"c{b}"), lane * _LANE).bitwiseAND(F.lit((1 << _LANE) - 1)), 1 << (b + lane * _LANE))
+    return out
 
-    return F.aggregate(hashes, zero, count, vote)
 
+def fingerprinted(occurrences: DataFrame) -> DataFrame:
+    """doc, key, pos, id and bits, the SimHash of its words, of each line.
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, key, pos and norm of every line that is not blank."""
+    A line's words are counted where its document is: the occurrences are dealt by ``key``, so
+    neither the words nor the counts move.
+    """
+    words = occurrences.select("doc", "key", "pos", "id", F.explode(F.split("norm", " ")).alias("word"))
+    counted = words.groupBy("key", "pos", "doc", "id").agg(*_votes(F.xxhash64("word")))
+    return counted.select("doc", "key", "pos", "id", _majority().alias("bits"))
+
+
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, dealt: bool = False) -> DataFrame:
+    """doc, key, pos, norm and id of every line that is not blank, dealt by key if asked for."""
     doc = F.col(id_col).cast("long")
-    lines = docs.select(doc.alias("doc"), F.xxhash64(doc, F.col(text_col)).alias("key"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    rows = docs.select(doc.alias("doc"), F.xxhash64(doc, F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    lines = (rows.repartition("key") if dealt else rows).select("doc", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.select("doc", "key", "pos", normalised(F.col("line")).alias("norm")).where("norm <> ''").withColumn("id", F.xxhash64("norm"))
 
 
@@ -107,9 +114,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     """
     occurrences = _occurrences(docs, id_col, text_col)
     place = F.struct("doc", "key", "pos")
-    distinct = stored(
-        occurrences.withColumn("bits", line_bits(F.col("norm"))).groupBy("id").agg(F.first("bits").alias("bits"), F.min(place).alias("first"), F.count("*").alias("n"))
-    )
+    prints = fingerprinted(_occurrences(docs, id_col, text_col, dealt=True))
+    distinct = stored(prints.groupBy("id").agg(F.first("bits").alias("bits"), F.min(place).alias("first"), F.count("*").alias("n")))
     group = components(line_links(distinct, occurrences, similarity))
     named = distinct.join(group, distinct["id"] == group["node"], "left").withColumn("group", F.coalesce("component", "id"))
     firsts = named.groupBy("group").agg(F.min("first").alias("kept"), F.sum("n").alias("rows")).where("rows > 1")
