@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.windows import Windows, range_hashes, repeated_spans
+from corvane.llm.windows import Hashes, Windows, one_by_one, repeated_spans
 
 #: Words of the shortest factor that is a duplicate.
 FACTOR = 13
@@ -26,7 +26,7 @@ def _seeds(rows: list[tuple[bytes]]) -> Windows:
     counts = np.maximum(words - FACTOR + 1, 0)
     firsts = np.cumsum(words) - words  # of each text's words
     at = np.repeat(firsts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    return Windows(counts, np.empty(0, np.int64), np.arange(len(at)), range_hashes(data, starts[at], stops[at + FACTOR - 1]))
+    return Windows(counts, np.empty(0, np.int64), np.arange(len(at)), Hashes(data).ranges(starts[at], stops[at + FACTOR - 1]))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, column: str, make) ->
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, made = [], [], []
-            for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for _, text, found in one_by_one(b):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 kept, at, gone = [], 0, 0
                 for start, stop in zip(found[::2], found[1::2], strict=True) if found else ():

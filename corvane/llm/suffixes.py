@@ -17,22 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.windows import Windows, range_hashes, repeated_spans, sorted_places
+from corvane.llm.windows import Hashes, Windows, one_by_one, repeated_spans, sorted_places
 
 #: Bytes of a duplicate string, and of an anchor in it.
 STRING, ANCHOR = 50, 24
 #: Bytes of text whose hashes are held at a time.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 #: Anchors as a share of bytes, about, and windows to look at singly.
 _ANCHORS_IN, _SINGLY_IN = 13, 20
 
 
-def _anchors(data: np.ndarray) -> np.ndarray:
-    """The anchor of each window of less than 2**24 bytes."""
-    at = np.arange(len(data) - ANCHOR + 1)
+def _anchors(hashes: np.ndarray) -> np.ndarray:
+    """The anchor of each window, given less than 2**24 hashes of anchors."""
     # the place in the low bits: of equal anchors in a window the first counts
-    least = (range_hashes(data, at, at + ANCHOR) & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
-    span, n, done = STRING - ANCHOR + 1, len(data) - STRING + 1, 1
+    least = (hashes & ~np.uint64(0xFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
+    span, n, done = STRING - ANCHOR + 1, len(hashes) - STRING + ANCHOR, 1
     while 2 * done <= span:
         least = np.minimum(least[:-done], least[done:])
         done *= 2
@@ -40,16 +39,29 @@ def _anchors(data: np.ndarray) -> np.ndarray:
     return (least & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
-def _phrases(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window, and anchor, of each phrase of the documents that end at ``ends`` in an array of bytes."""
-    n = len(data) - STRING + 1
-    if n <= 0:
-        return (np.empty(0, np.int64),) * 3
-    anchor = np.concatenate([i + _anchors(data[i : i + STRETCH + STRING - 1]) for i in range(0, n, STRETCH)])
-    doc = np.searchsorted(ends, np.arange(n), side="right")
-    windows = np.flatnonzero(np.arange(n) + STRING <= ends[doc])
-    new = np.flatnonzero(np.append(True, (np.diff(anchor[windows]) != 0) | (np.diff(doc[windows]) != 0))) if len(windows) else windows
-    return windows[new], windows[np.append(new[1:], len(windows)) - 1] if len(windows) else windows, anchor[windows[new]]
+class Phrases:
+    """First and last window, anchor and document of each phrase of the documents that end at ``ends`` in an array of bytes."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray) -> None:
+        n, lengths = max(0, len(data) - STRING + 1), np.diff(ends, prepend=0)
+        self.hashes, self.ends, self.starts = Hashes(data), ends, ends - lengths
+        self.first = self.last = self.anchor = self.doc = np.empty(0, np.int64)
+        if not n:
+            return
+        self.small = self.hashes.every(ANCHOR)
+        reach = STRETCH + STRING - ANCHOR
+        anchor = np.concatenate([i + _anchors(self.small[i : i + reach]) for i in range(0, n, STRETCH)])
+        doc = np.repeat(np.arange(len(ends)), lengths)[:n]
+        whole = np.repeat(ends, lengths)[:n] >= np.arange(STRING, n + STRING)
+        change = np.empty(n, bool)
+        change[0] = True
+        np.logical_or(anchor[1:] != anchor[:-1], doc[1:] != doc[:-1], out=change[1:])
+        # a document's windows stand together, so a phrase ends where the next begins or its document has no more
+        self.first = np.flatnonzero(whole & change)
+        self.doc, self.anchor = doc[self.first], anchor[self.first]
+        closing = np.append(self.doc[1:] != self.doc[:-1], True) if len(self.first) else np.empty(0, bool)
+        self.last = np.append(self.first[1:] - 1, 0)[: len(self.first)]
+        self.last[closing] = ends[self.doc[closing]] - STRING
 
 
 def _stretches(texts: list[bytes]) -> Iterator[list[int]]:
@@ -65,21 +77,20 @@ def _stretches(texts: list[bytes]) -> Iterator[list[int]]:
         yield some
 
 
-def _of_texts(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _of_texts(texts: list[bytes]) -> Iterator[tuple[list[int], Phrases]]:
     for some in _stretches(texts):
-        data = np.frombuffer(b"".join(texts[i] for i in some), np.uint8)
-        ends = np.cumsum([len(texts[i]) for i in some])
-        yield (some, data, ends, *_phrases(data, ends))
+        yield some, Phrases(np.frombuffer(b"".join(texts[i] for i in some), np.uint8), np.cumsum([len(texts[i]) for i in some]))
 
 
 def _by_phrase(rows: list[tuple[bytes]]) -> Windows:
     """A place for each phrase, with its anchor's hash and, to tell phrases of one anchor apart, its own."""
     texts = [t for (t,) in rows]
     counts, codes, parts = np.zeros(len(texts), np.int64), [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-    for some, data, ends, first, last, anchor in _of_texts(texts):
-        counts[some] = np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(some))
-        codes.append(range_hashes(data, anchor, anchor + ANCHOR))
-        parts.append(range_hashes(data, first, last + STRING))
+    for some, p in _of_texts(texts):
+        counts[some] = np.bincount(p.doc, minlength=len(some))
+        if len(p.first):
+            codes.append(p.small[p.anchor])
+            parts.append(p.hashes.ranges(p.first, p.last + STRING))
     return Windows(counts, np.empty(0, np.int64), np.arange(counts.sum()), np.concatenate(codes), np.concatenate(parts))
 
 
@@ -89,19 +100,19 @@ def _by_window(rows: list[tuple[bytes, list[int] | None, list[int] | None]]) ->
     counts = np.maximum(np.array([len(t) for t in texts]) - STRING + 1, 0)
     bases = np.cumsum(counts) - counts
     settled, open_, codes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-    for some, data, ends, first, last, _ in _of_texts(texts):
-        owner = np.searchsorted(ends, first, side="right")
-        begins = np.searchsorted(owner, np.arange(len(some)))
-        starts = ends - [len(texts[i]) for i in some]
+    # texts without phrases of either kind have no window to look up
+    wanted = [i for i, (_, later, check) in enumerate(rows) if later or check]
+    for picked, p in _of_texts([texts[i] for i in wanted]):
+        some = [wanted[i] for i in picked]
+        begins = np.searchsorted(p.doc, np.arange(len(some)))
         for kind, out in ((1, settled), (2, open_)):
             listed = [begins[j] + np.asarray(rows[i][kind], np.int64) for j, i in enumerate(some) if rows[i][kind]]
             mine = np.concatenate(listed) if listed else np.empty(0, np.int64)
-            lengths = last[mine] - first[mine] + 1
-            at = np.repeat(first[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            doc = np.repeat(owner[mine], lengths)
-            out.append(at - starts[doc] + bases[np.array(some)[doc]] if len(at) else np.empty(0, np.int64))
+            lengths = p.last[mine] - p.first[mine] + 1
+            at = np.repeat(p.first[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            out.append(at + np.repeat((bases[some] - p.starts)[p.doc[mine]], lengths))
             if kind == 2:
-                codes.append(range_hashes(data, at, at + STRING))
+                codes.append(p.hashes.ranges(at, at + STRING))
     return Windows(counts, np.concatenate(settled), np.concatenate(open_), np.concatenate(codes))
 
 
@@ -124,7 +135,7 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, column: str, kind: pa.
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_bytes, n_removed, n_spans, made = [], [], [], []
-            for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for _, text, found in one_by_one(b):
                 data, kept, at, gone = (text or "").encode("utf-8", "surrogatepass"), [], 0, 0
                 for start, stop in zip(found[::2], found[1::2], strict=True) if found else ():
                     kept.append(data[at:start])

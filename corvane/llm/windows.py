@@ -23,6 +23,8 @@ from corvane.llm.storage import stored
 BLOCK_BYTES = 6 << 20
 #: Windows that one range of hashes holds about, which bounds what a worker sorts at once.
 RANGE_WINDOWS = 1_500_000
+#: Rows in an Arrow batch; a block's windows of one range are a row of up to some hundred kilobytes.
+BATCH_ROWS = 100
 #: The identifier that stands for null: before all others.
 NULL_ID = -(1 << 63)
 
@@ -31,6 +33,13 @@ _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, of which only one is a Python object at a time: they may be large."""
+    columns = batch.columns
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0] = 1
@@ -42,16 +51,35 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the given byte ranges of an array, equal for equal bytes wherever they stand."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _powers(_BASE, len(data) + 1)[:-1], out=sums[1:])
-    back = _powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
-    h = (sums[stops] - sums[starts]) * back[starts]
-    h ^= (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for shift, factor in ((np.uint64(32), np.uint64(0xD6E8FEB86659FD93)), (np.uint64(29), np.uint64(0xBF58476D1CE4E5B9))):
-        h = (h ^ (h >> shift)) * factor
-    return h ^ (h >> np.uint64(32))
+class Hashes:
+    """64-bit hashes of byte ranges of an array, equal for equal bytes wherever they stand."""
+
+    _up = _down = np.ones(1, np.uint64)
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data) + 1
+        if len(Hashes._up) < n:  # powers are kept for the worker's next arrays
+            Hashes._up, Hashes._down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+        self._sums = np.zeros(n, np.uint64)
+        np.cumsum(_VALUES[data] * Hashes._up[: n - 1], out=self._sums[1:])
+
+    def ranges(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return self._mixed((self._sums[stops] - self._sums[starts]) * Hashes._down[starts], (stops - starts).astype(np.uint64))
+
+    def every(self, width: int) -> np.ndarray:
+        """Of all ranges of a width, by their start."""
+        n = len(self._sums) - width
+        return self._mixed((self._sums[width:] - self._sums[:n]) * Hashes._down[:n], np.array([width], np.uint64))
+
+    @staticmethod
+    def _mixed(h: np.ndarray, width: np.ndarray) -> np.ndarray:
+        h ^= width * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        return h
 
 
 def _press(values: np.ndarray) -> bytes:
@@ -140,7 +168,7 @@ def send(docs: DataFrame, hasher: Hasher, ranges: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 33
         ids, keys, rows, size = [], [], [], 0
         for b in batches:
-            for doc, key, text, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, key, text, *more in one_by_one(b):
                 ids.append(NULL_ID if doc is None else doc)
                 keys.append(key)
                 rows.append(((text or "").encode("utf-8", "surrogatepass"), *more))
@@ -194,7 +222,7 @@ def answer(sent: DataFrame, ranges: int) -> DataFrame:
     def answerer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for b in batches:
-            for bucket, block, ids, keys, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, block, ids, keys, *row in one_by_one(b):
                 if bucket < 0:
                     yield told([(block, keys, row[0], LATER, row[1])])
                     continue
@@ -227,7 +255,7 @@ def _by_document(told: DataFrame, make: Callable[[list[np.ndarray]], list[list[i
     def collector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, table, places = None, None, {LATER: [], CHECK: []}
         for b in batches:
-            for block, keys, bounds, kind, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for block, keys, bounds, kind, held in one_by_one(b):
                 if block != now:
                     if table is not None:
                         yield documents(*table, places)
@@ -240,7 +268,7 @@ def _by_document(told: DataFrame, make: Callable[[list[np.ndarray]], list[list[i
 
     schema = ", ".join(["key long", *(f"{c} array<int>" for c in columns)])
     found = told.repartition("block").sortWithinPartitions("block").mapInArrow(collector, schema)
-    return stored(found.groupBy("key").agg(*[F.first(c).alias(c) for c in columns]))
+    return stored(found.groupBy("key").agg(*[F.first(c).alias(c) for c in columns]), batch_rows=BATCH_ROWS)
 
 
 def ranges_for(windows: int) -> int:
@@ -266,5 +294,5 @@ def repeated_spans(docs: DataFrame, hasher: Hasher, window: int, windows: int) -
 
 def sorted_places(docs: DataFrame, hasher: Hasher, windows: int) -> DataFrame:
     """key, later and check: the places of each document by kind, for a hasher with parts."""
-    ranges = ranges_for(windows)
+    ranges = ranges_for(3 * windows)  # two hashes each, and sorted by both
     return _by_document(answer(send(docs, hasher, ranges), ranges), lambda places: [p.tolist() for p in places], ["later", "check"])
