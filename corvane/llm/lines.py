@@ -13,8 +13,9 @@ from corvane.llm.storage import stored
 
 #: Differing bits up to which fingerprints are candidates, and the least edit similarity of a link.
 DISTANCE, SIMILARITY = 3, 0.8
-#: Of 5 blocks, 3 or fewer differing bits leave 2 equal: 10 keys of about 25 bits.
-BLOCKS = 5
+#: Of 5 blocks, 3 or fewer differing bits leave 2 equal: 10 keys of about 25 bits. The lines of a
+#: key with more than ``MANY`` are keyed again by 5 of 8 blocks: 56 keys of 40 bits.
+BLOCKS, FINE_BLOCKS, MANY = 5, 8, 32
 #: Counters of 21 bits, three to a long, hold lines of up to two million words.
 _LANE, _LANES = 21, (1 << 42) + (1 << 21) + 1
 
@@ -59,13 +60,22 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, dealt: bool = Fals
     return lines.select("doc", "key", "pos", normalised(F.col("line")).alias("norm")).where("norm <> ''").withColumn("id", F.xxhash64("norm"))
 
 
-def _masks() -> list[int]:
-    bounds = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
-    blocks = [((1 << b) - (1 << a)) for a, b in zip(bounds, bounds[1:], strict=False)]
-    masks = [sum(c) for c in combinations(blocks, BLOCKS - DISTANCE)]
+def _masks(blocks: int) -> list[int]:
+    bounds = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    parts = [((1 << b) - (1 << a)) for a, b in zip(bounds, bounds[1:], strict=False)]
+    masks = [sum(c) for c in combinations(parts, blocks - DISTANCE)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _shared(distinct: DataFrame, blocks: int) -> DataFrame:
+    """key, id, bits, and the key's most frequent line with its bits, for keys that several lines have."""
+    keys = F.array(*[F.xxhash64(F.lit(blocks), F.lit(i), F.col("bits").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(blocks))])
+    keyed = distinct.select(F.explode(keys).alias("key"), "id", "bits", "n")
+    first, whole = Window.partitionBy("key").orderBy(F.desc("n"), "id"), Window.partitionBy("key")
+    placed = keyed.select("key", "id", "bits", F.first("id").over(first).alias("centre"), F.first("bits").over(first).alias("centre_bits"), F.count("*").over(whole).alias("held"))
+    return placed.where("held > 1")  # most keys have one line
+
+
 def _verified(pairs: DataFrame, occurrences: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of lines whose edit similarity is high enough; only the lines in question are read with their text."""
     pairs = stored(pairs.distinct())
@@ -81,14 +91,14 @@ def _verified(pairs: DataFrame, occurrences: DataFrame, similarity: float) -> Da
 def line_links(distinct: DataFrame, occurrences: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links between different lines that connect all of high edit similarity whose fingerprints are close.
 
+    A key with many lines gives way to finer ones, which any two close fingerprints share as well.
     Lines of one key are compared with the key's most frequent line first. Those that are linked to
     it are one group, so only the others are then compared with all lines of the key.
     """
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("bits").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks())])
-    keyed = distinct.select(F.explode(keys).alias("key"), "id", "bits", "n")
-    first = Window.partitionBy("key").orderBy(F.desc("n"), "id")
-    placed = keyed.select("key", "id", "bits", F.first("id").over(first).alias("centre"), F.first("bits").over(first).alias("centre_bits"), F.count("*").over(Window.partitionBy("key")).alias("held"))
-    shared = stored(placed.where("held > 1").drop("held"))  # most keys have one line
+    coarse = stored(_shared(distinct, BLOCKS))
+    crowded = coarse.where(F.col("held") > MANY).select("id").distinct()
+    fine = _shared(distinct.join(crowded, "id", "left_semi"), FINE_BLOCKS)
+    shared = stored(coarse.where(F.col("held") <= MANY).unionByName(fine).drop("held"))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= DISTANCE
     others = shared.where("id <> centre")
     to_centre = _verified(others.where(near("bits", "centre_bits")).select(F.col("id").alias("a"), F.col("centre").alias("b")), occurrences, similarity)

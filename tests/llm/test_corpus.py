@@ -218,8 +218,9 @@ def lines_by_hand(docs):
     return sorted(out, key=str)
 
 
-def test_lines(spark, awkward, documents):
+def test_lines(spark, awkward, documents, monkeypatch):
     assert rows_of(llm.op3_line_dedup(spark, FOLDER)) == lines_by_hand(documents)
+    monkeypatch.setattr(lines, "MANY", 2)  # the small cases take the finer keys
     base = "the quick brown fox jumps over the lazy dog while seven wizards box with five jugs of ale at noon on every sunny day in may"
     variants = [base, base.replace("fox", "cat"), base.replace("dog", "hog"), base.upper() + "  ", base + " x", "other words altogether here", base.replace("five", "6")]
     near = [(50 + n, f"{v}\n\n{variants[n // 2]}\nown line {n * 7919}") for n, v in enumerate(variants)]
