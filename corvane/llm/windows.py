@@ -138,7 +138,7 @@ def _sent(number: int, ids: list[int], keys: list[int], found: Windows, ranges:
     bucket = ((codes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(ranges + 1))
-    parts = [] if found.parts is None else [_bytes(found.parts[~here], 5)]
+    parts = [] if found.parts is None else [_bytes(found.parts[~here], 8)]  # whole: equal parts settle windows unseen
     packed = np.concatenate([_bytes(codes, _width(ranges)), *parts], axis=1)
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         mine = order[cuts[k] : cuts[k + 1]]
