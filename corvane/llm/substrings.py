@@ -1,4 +1,4 @@
-"""Substring deduplication: relative Lempel-Ziv factors of documents against all earlier ones."""
+"""Substring deduplication: runs of words that an earlier document also has, by hashes of their windows."""
 
 from __future__ import annotations
 
@@ -34,13 +34,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def factor_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (hash of identifier and text) and spans of words, start and stop in turn, that are factors of at least 13 words.
+    """key (hash of identifier and text) and spans of words, start and stop in turn, covered by 13-word runs that an earlier document has.
 
     The reference is every document with a smaller identifier, indexed by the hashes of its runs
-    of 13 words (seeds). A document is parsed greedily: a factor goes on while each next seed is
-    found in the reference, and where one ends the seeds across its boundary are looked up like
-    any other, so no run of 13 words is missed. The index is spread over tasks by hash range;
-    documents are parsed against all of it by sending it their seeds, packed by block, instead of
+    of 13 words (seeds). Every seed of a document is looked up and seeds that are found and overlap
+    or touch are one span, so no run of 13 words is missed. There is no Lempel-Ziv parse: a span may
+    be stitched from several documents. The index is spread over tasks by hash range;
+    documents are compared with all of it by sending it their seeds, packed by block, instead of
     the blocks of the reference visiting every document.
     """
     rows = _keyed(docs, id_col, text_col)
