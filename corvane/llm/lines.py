@@ -9,55 +9,76 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.llm.components import components
-from corvane.llm.storage import stored
+from corvane.llm.storage import discard, stored
 
 #: Differing bits up to which fingerprints are candidates, and the least edit similarity of a link.
 DISTANCE, SIMILARITY = 3, 0.8
 #: Of 5 blocks, 3 or fewer differing bits leave 2 equal: 10 keys of about 25 bits. The lines of a
 #: key with more than ``MANY`` are keyed again by 5 of 8 blocks: 56 keys of 40 bits.
 BLOCKS, FINE_BLOCKS, MANY = 5, 8, 32
-#: Counters of 21 bits, three to a long, hold lines of up to two million words.
-_LANE, _LANES = 21, (1 << 42) + (1 << 21) + 1
+#: Times that a crowded key's lines are compared with one drawn by a hash.
+TURNS = 2
+#: Eight counters of 8 bits to a long count the bits of lines of up to so many words.
+NARROW = 127
+_ONES = 0x0101010101010101
+_LOW, _LOW_ONES, _LOW_TOPS = (1 << 56) - 1, _ONES >> 8, 0x80808080808080
+#: The document number that stands for null, before all others.
+_NULL_ID = -(1 << 63)
 
+#: Edits that comparisons stop at, each a quarter more than the one before; more are counted out in full.
+_BOUNDS = tuple(round(8 * 1.25**i) for i in range(36))
 
-def normalised(line: Column) -> Column:
-    """Lower case, blanks as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+_TEXT = {"compression": "zstd"}
 
 
-def _votes(h: Column) -> list[Column]:
-    """Sums over words that count each bit of their hashes, three bits to a sum."""
-    lanes = [F.sum(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(_LANES))).alias(f"c{b}") for b in range(_LANE)]
-    return [*lanes, F.sum(F.shiftrightunsigned(h, 63)).alias("top"), F.count("*").alias("words")]
+def normalised(text: Column) -> Column:
+    """Lower case, blanks within a line as one space; ends of lines are trimmed after the split."""
+    return F.regexp_replace(F.lower(text), r" [ \t\x0B\f\r]+|[\t\x0B\f\r][ \t\x0B\f\r]*", " ")
 
 
-def _majority() -> Column:
-    """The bits that more than half of the counted words have."""
-    set_ = lambda n, bit: F.when(2 * n > F.col("words"), F.lit(bit)).otherwise(F.lit(0)).cast("long")
-    out = set_(F.col("top"), -(1 << 63))
-    for b in range(_LANE):
-        for lane in range(3):
-            out = out + set_(F.shiftrightunsigned(F.col(f"c{b}"), lane * _LANE).bitwiseAND(F.lit((1 << _LANE) - 1)), 1 << (b + lane * _LANE))
-    return out
+def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc (null as the smallest long), key (the text's hash), pos and norm of every line that is not blank."""
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
+    lines = docs.select(doc.alias("doc"), F.xxhash64(text_col).alias("key"), F.posexplode(F.split(normalised(F.col(text_col)), "\n")).alias("pos", "line"))
+    return lines.select("doc", "key", "pos", F.trim("line").alias("norm")).where("norm <> ''")
 
 
-def fingerprinted(occurrences: DataFrame) -> DataFrame:
-    """doc, key, pos, id and bits, the SimHash of its words, of each line.
+def _name(norm: str) -> Column:
+    """128 bits of a line's SHA-256, by which occurrences find their line again."""
+    return F.unhex(F.substring(F.sha2(norm, 256), 1, 32))
+
+
+def _place() -> Column:
+    """Documents in order, lines in order, as one number that a hash aggregate can take the least of."""
+    return (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("pos")).cast("decimal(38,0)")
 
-    A line's words are counted where its document is: the occurrences are dealt by ``key``, so
-    neither the words nor the counts move.
-    """
-    words = occurrences.select("doc", "key", "pos", "id", F.explode(F.split("norm", " ")).alias("word"))
-    counted = words.groupBy("key", "pos", "doc", "id").agg(*_votes(F.xxhash64("word")))
-    return counted.select("doc", "key", "pos", "id", _majority().alias("bits"))
 
+def _counted(words: DataFrame, sums: list[Column]) -> DataFrame:
+    return words.groupBy("line", "n").agg(*sums, F.count("*").alias("words"))
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, dealt: bool = False) -> DataFrame:
-    """doc, key, pos, norm and id of every line that is not blank, dealt by key if asked for."""
-    doc = F.col(id_col).cast("long")
-    rows = docs.select(doc.alias("doc"), F.xxhash64(doc, F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    lines = (rows.repartition("key") if dealt else rows).select("doc", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("doc", "key", "pos", normalised(F.col("line")).alias("norm")).where("norm <> ''").withColumn("id", F.xxhash64("norm"))
+
+def fingerprints(lines: DataFrame) -> DataFrame:
+    """line, n and bits, the SimHash of its different words, of each row of line, n, n_words and norm.
+
+    Each different word has one vote, so a separator that fills half a line does not decide. A
+    line's words are counted by the task that reads it, and only its counts are shuffled. Short lines
+    have eight counters to a long; their majorities are read off by adding what makes a counter's
+    top bit one from half of the words on.
+    """
+    words = lines.select("line", "n", "n_words", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).withColumn("h", F.xxhash64("word"))
+    short = _counted(words.where(F.col("n_words") <= NARROW), [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(_ONES))).alias(f"c{b}") for b in range(8)])
+    half = F.shiftright("words", 1)
+    lift = F.lit(_LOW_ONES) * (F.lit(127).cast("long") - half)
+    bits = F.lit(0).cast("long")
+    for b in range(8):
+        tops = (F.col(f"c{b}").bitwiseAND(F.lit(_LOW)) + lift).bitwiseAND(F.lit(_LOW_TOPS))  # the highest counter apart: no sum overflows
+        highest = F.when(F.shiftrightunsigned(f"c{b}", 56) > half, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+        bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(tops, 7).bitwiseOR(F.shiftleft(highest, 56)), b))
+    long = _counted(words.where(F.col("n_words") > NARROW), [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"c{b}") for b in range(64)])
+    wide = F.lit(0).cast("long")
+    for b in range(64):
+        wide = wide.bitwiseOR(F.when(2 * F.col(f"c{b}") > F.col("words"), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0)).cast("long"))
+    return short.select("line", "n", bits.alias("bits")).unionAll(long.select("line", "n", wide.alias("bits")))
 
 
 def _masks(blocks: int) -> list[int]:
@@ -67,79 +88,125 @@ def _masks(blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _shared(distinct: DataFrame, blocks: int) -> DataFrame:
-    """key, id, bits, and the key's most frequent line with its bits, for keys that several lines have."""
+def _shared(prints: DataFrame, blocks: int) -> DataFrame:
+    """key, line, bits, and the key's most frequent line with its bits, for keys that several lines have."""
     keys = F.array(*[F.xxhash64(F.lit(blocks), F.lit(i), F.col("bits").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(blocks))])
-    keyed = distinct.select(F.explode(keys).alias("key"), "id", "bits", "n")
-    first, whole = Window.partitionBy("key").orderBy(F.desc("n"), "id"), Window.partitionBy("key")
-    placed = keyed.select("key", "id", "bits", F.first("id").over(first).alias("centre"), F.first("bits").over(first).alias("centre_bits"), F.count("*").over(whole).alias("held"))
+    keyed = prints.select(F.explode(keys).alias("key"), "line", "bits", "n")
+    first, whole = Window.partitionBy("key").orderBy(F.desc("n"), "line"), Window.partitionBy("key")
+    placed = keyed.select(
+        "key", "line", "bits", "n", F.first("line").over(first).alias("centre"), F.first("bits").over(first).alias("centre_bits"), F.count("*").over(whole).alias("held")
+    )
     return placed.where("held > 1")  # most keys have one line
 
 
-def _verified(pairs: DataFrame, occurrences: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of lines whose edit similarity is high enough; only the lines in question are read with their text."""
-    pairs = stored(pairs.distinct())
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stored(occurrences.select("id", "norm").join(asked, "id", "left_semi").groupBy("id").agg(F.first("norm").alias("norm")))
-    of = lambda c: texts.select(F.col("id").alias(c), F.col("norm").alias(f"n{c}"))
-    longest = F.greatest(F.char_length("na"), F.char_length("nb"))
-    close = F.abs(F.char_length("na") - F.char_length("nb")) <= (1 - similarity) * longest
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of lines whose edit similarity is high enough; edits beyond what it allows are not counted out."""
+    of = lambda c: texts.select(F.col("line").alias(c), F.col("norm").alias(f"n{c}"), F.char_length("norm").alias(f"l{c}"))
+    allowed = F.floor((1 - similarity) * F.greatest("la", "lb") + 1e-9).cast("int")
+    # levenshtein takes a constant threshold only, so lengths that allow about the same number of edits go together
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("allowed", allowed)
+    joined = joined.where(F.abs(F.col("la") - F.col("lb")) <= F.col("allowed"))
     edits = F.levenshtein("na", "nb")
-    return stored(pairs.join(of("a"), "a").join(of("b"), "b").where(close).where(1 - edits / longest >= similarity).select("a", "b"))
+    for bound in reversed(_BOUNDS):
+        edits = F.when(F.col("allowed") <= bound, F.levenshtein("na", "nb", bound)).otherwise(edits)
+    return stored(joined.withColumn("edits", edits).where((F.col("edits") >= 0) & (F.col("edits") <= F.col("allowed"))).select("a", "b"))
 
 
-def line_links(distinct: DataFrame, occurrences: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _near(x: str, y: str) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= DISTANCE
+
+
+def _in_groups(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``shared`` with the component of the line so far, of keys whose lines are in several components."""
+    group = components(links)
+    grouped = shared.join(group, shared["line"] == group["node"], "left").withColumn("group", F.coalesce("component", "line")).drop("node", "component")
+    whole = Window.partitionBy("key")
+    several = F.min("group").over(whole) != F.max("group").over(whole)
+    return stored(grouped.withColumn("several", several).where("several").drop("several"))
+
+
+def line_links(prints: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links between different lines that connect all of high edit similarity whose fingerprints are close.
 
     A key with many lines gives way to finer ones, which any two close fingerprints share as well.
-    Lines of one key are compared with the key's most frequent line first. Those that are linked to
-    it are one group, so only the others are then compared with all lines of the key.
+    Lines of one key are compared with the key's most frequent line first, those of a crowded key
+    then with others drawn by a hash, ``TURNS`` times. What is connected by then needs no more
+    comparison, so only lines of different components are compared with all lines of the key. Texts are
+    fetched once, for the lines that share a key with another.
     """
-    coarse = stored(_shared(distinct, BLOCKS))
-    crowded = coarse.where(F.col("held") > MANY).select("id").distinct()
-    fine = _shared(distinct.join(crowded, "id", "left_semi"), FINE_BLOCKS)
-    shared = stored(coarse.where(F.col("held") <= MANY).unionByName(fine).drop("held"))
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= DISTANCE
-    others = shared.where("id <> centre")
-    to_centre = _verified(others.where(near("bits", "centre_bits")).select(F.col("id").alias("a"), F.col("centre").alias("b")), occurrences, similarity)
-    left = others.join(to_centre.select(F.col("a").alias("id"), F.col("b").alias("centre")), ["id", "centre"], "left_anti")
-    pairs = left.select("key", F.col("id").alias("a"), "bits").join(shared.select("key", F.col("id").alias("b"), F.col("bits").alias("other")), "key")
-    between = pairs.where((F.col("a") != F.col("b")) & near("bits", "other")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    known = to_centre.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return known.union(_verified(between, occurrences, similarity))
+    coarse = stored(_shared(prints, BLOCKS))
+    crowded = coarse.where(F.col("held") > MANY).select("line").distinct()
+    fine = _shared(prints.join(crowded, "line", "left_semi"), FINE_BLOCKS)
+    shared = stored(coarse.where(F.col("held") <= MANY).unionByName(fine))
+    discard(coarse)
+    texts = stored(lines.join(shared.select("line").distinct(), "line", "left_semi").select("line", "norm"), **_TEXT)
+    ordered = lambda rows: rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = stored(ordered(shared.where("line <> centre").where(_near("bits", "centre_bits")).select(F.col("line").alias("a"), F.col("centre").alias("b"))))
+    links = _verified(tried, texts, similarity)
+    rows = _in_groups(shared.drop("centre", "centre_bits"), links)
+    for turn in range(TURNS):
+        many = rows.where(F.col("held") > MANY)
+        if many.isEmpty():
+            break
+        drawn = Window.partitionBy("key").orderBy(F.xxhash64("line", F.lit(turn)), "line")
+        placed = many.select("line", "bits", "group", *[F.first(c).over(drawn).alias(f"centre_{c}") for c in ("line", "bits", "group")])
+        apart = placed.where("group <> centre_group").where(_near("bits", "centre_bits"))
+        fresh = stored(ordered(apart.select(F.col("line").alias("a"), F.col("centre_line").alias("b"))).join(tried, ["a", "b"], "left_anti"))
+        tried, links = tried.unionAll(fresh), links.unionAll(_verified(fresh, texts, similarity))
+        rows = _in_groups(rows.drop("group"), links)
+    # the key's largest line counts as its centre: of two components one at least is not the centre's
+    centre = Window.partitionBy("key").orderBy(F.desc("n"), "line")
+    others = rows.withColumn("main", F.first("group").over(centre)).where("group <> main")
+    other = rows.select("key", F.col("line").alias("b"), F.col("bits").alias("other"), F.col("group").alias("elsewhere"))
+    pairs = others.select("key", F.col("line").alias("a"), "bits", "group").join(other, "key").where("group <> elsewhere").where(_near("bits", "other"))
+    found = _verified(ordered(pairs).join(tried, ["a", "b"], "left_anti"), texts, similarity)
+    discard(texts)
+    return links.unionAll(found)
+
+
+def _answers(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """name and kept (the place that stays) of every line that occurs, itself or in its group, more than once."""
+    occurrences = _occurrences(docs, id_col, text_col)
+    lines = occurrences.groupBy("norm").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
+    lines = stored(lines.select(F.monotonically_increasing_id().alias("line"), _name("norm").alias("name"), "first", "n", F.size(F.split("norm", " ")).alias("n_words"), "norm"), **_TEXT)
+    prints = stored(fingerprints(lines.select("line", "n", "n_words", "norm")))
+    group = components(line_links(prints, lines, similarity))
+    named = lines.select("line", "name", "first", "n").join(group, lines["line"] == group["node"], "left").where("n > 1 OR component IS NOT NULL")
+    named = named.select("name", "first", "n", F.coalesce("component", "line").alias("group"))
+    kept = named.groupBy("group").agg(F.min("first").alias("kept"))
+    answers = stored(named.select("name", "group").join(kept, "group").select("name", "kept"))
+    discard(lines)
+    discard(prints)
+    return answers
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, n_groups and kept_text: every text with one occurrence of each group of lines.
 
     Lines are split at line feeds and normalised (lower case, blanks as one space). Equal ones are
-    one node; different ones are linked when their SimHash fingerprints differ in at most 3 bits and
-    their edit similarity (1 less the edits over the longer length) is at least ``similarity``. Of each
-    connected group the first occurrence, by document and line, stays as it is; n_groups counts
-    the lines that stay. Blank lines always stay and belong to no group.
+    one node; different ones are linked when the SimHash fingerprints of their sets of words differ in
+    at most 3 bits and their edit similarity (1 less the edits over the longer length) is at least
+    ``similarity``. Of each connected group the first occurrence, by document and line, stays as it
+    is; n_groups counts the lines that stay. Blank lines always stay and belong to no group.
 
     A null text has no lines, an empty one a single blank line. A null identifier comes before all
-    others; rows that repeat an identifier and text get the same answer; an empty table gives no
-    rows. Other columns are not read.
+    others; rows of one identifier count as one document, so a first line that several of them have at
+    one place stays in each, and rows that repeat an identifier and text get the same answer. An
+    empty table gives no rows. Other columns are not read.
     """
-    occurrences = _occurrences(docs, id_col, text_col)
-    place = F.struct("doc", "key", "pos")
-    prints = fingerprinted(_occurrences(docs, id_col, text_col, dealt=True))
-    distinct = stored(prints.groupBy("id").agg(F.first("bits").alias("bits"), F.min(place).alias("first"), F.count("*").alias("n")))
-    group = components(line_links(distinct, occurrences, similarity))
-    named = distinct.join(group, distinct["id"] == group["node"], "left").withColumn("group", F.coalesce("component", "id"))
-    firsts = named.groupBy("group").agg(F.min("first").alias("kept"), F.sum("n").alias("rows")).where("rows > 1")
-    answer = stored(named.select("id", "group").join(firsts, "group").select("id", "kept"))
-    gone = occurrences.select("id", "doc", "key", "pos").join(answer, "id").where(~(place.eqNullSafe(F.col("kept"))))
-    removed = stored(gone.groupBy("key").agg(F.collect_set("pos").alias("removed")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("key"), F.split(F.col(text_col), "\n").alias("lines"))
-    joined = rows.join(removed, "key", "left")
-    none = F.array().cast("array<string>")
-    lines = F.coalesce("lines", none)
-    kept = F.when(F.col("removed").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)))
-    filled = F.filter(kept, lambda x: normalised(x) != "")
-    out = joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.size(filled).cast("long").alias("n_groups"))
-    return out.select("doc_id", "n_lines", "n_removed", "n_groups", F.array_join("kept", "\n").alias("kept_text"))
+    answers = _answers(docs, similarity, id_col, text_col)
+    named = _occurrences(docs, id_col, text_col).select("doc", "key", "pos", _name("norm").alias("name"))
+    gone = named.join(answers, "name").where(_place() != F.col("kept")).select("doc", "key", "pos")
+    removed = stored(gone.groupBy("doc", "key").agg(F.collect_set("pos").alias("removed")))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")
+    )
+    joined = rows.join(removed, ["doc", "key"], "left")
+    lines = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
+    n_removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    filled = F.size(F.filter(lines, lambda x: x.rlike(r"\S"))).cast("long")
+    kept = F.when(F.col("removed").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n"))
+    return joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), n_removed.alias("n_removed"), (filled - n_removed).alias("n_groups"), kept.alias("kept_text"))
 
 
 def line_report(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -191,7 +191,7 @@ def lines_by_hand(docs):
     names = list(first)
     prints = []
     for n in names:
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in n.split(" ")]
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(n.split(" "))]
         prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
     group = {n: n for n in names}
 
@@ -230,6 +230,23 @@ def test_lines(spark, awkward, documents, monkeypatch):
     assert lines.line_report(awkward).count() == len(AWKWARD) and lines.line_report(awkward.limit(0)).count() == 0
 
 
+def test_many_close_lines_and_separators(spark):
+    """Lines that are all close take one comparison each; a separator that fills half of every line links none."""
+    close = [(n, f"alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega {n:04d}") for n in range(5000)]
+    tables = [(6000 + n, " | ".join(f"cell{n * 31 + k}" for k in range(12))) for n in range(3000)]
+    got = {r.doc_id: r.n_removed for r in lines.line_report(spark.createDataFrame(close + tables, "doc_id long, text string")).collect()}
+    assert [i for i, n in got.items() if not n] == [0, *range(6000, 9000)] or sorted(i for i, n in got.items() if not n)[1:] == list(range(6000, 9000))
+
+
+def test_long_lines_have_exact_majorities(spark):
+    texts = [(n, " ".join(f"w{k * (n + 1)}" for k in range(size))) for n, size in enumerate((1, 2, 126, 127, 128, 129, 1000, 5000))]
+    rows = spark.createDataFrame([(i, 1, len(t.split()), t) for i, t in texts], "line long, n long, n_words int, norm string")
+    got = {r.line: r.bits & ((1 << 64) - 1) for r in lines.fingerprints(rows).collect()}
+    for i, t in texts:
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(t.split(" "))]
+        assert got[i] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(tokens.default_vocabulary())
