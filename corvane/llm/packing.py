@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.tokens import default_vocabulary, encoded
+from corvane.llm.windows import one_by_one
 
 #: Context sizes, each a power of two; the largest is the longest sequence.
 TIERS = (512, 1024, 2048, 4096)
@@ -155,7 +156,7 @@ def pack(
             rows.clear()
             return made
 
-        pairs = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        pairs = (pair for b in batches for pair in one_by_one(b))
         for key, ids in encoded(pairs, vocabulary, end_id):
             for window in packer.add((key, 0, ids, len(ids) // 4)):
                 place(window)

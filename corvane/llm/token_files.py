@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.llm.tokens import default_vocabulary, encoded
+from corvane.llm.windows import one_by_one
 
 #: Writer settings. Format version 2 gives the integer columns that outgrow a dictionary
 #: delta encoding; small pages and row groups let a reader of some documents, or of the
@@ -47,7 +48,7 @@ def write_token_files(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
-        rows = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = (pair for b in batches for pair in one_by_one(b))
         held: list[tuple[int | None, int, bytes]] = []
         size = 0
 

@@ -15,10 +15,11 @@ CACHE_ENTRIES = 400_000
 BATCH_CHARS = 3_000_000
 
 _PIECES = re.compile(r"[^\W\d_]+|[\W\d_]+")
-#: Beyond these, a letter's lower case can depend on others, or a text may not be in composed form.
-_OTHER_LETTERS = re.compile(r"[^\x00-\u012f\u0131-\u0148\u014a-\u017e]")
-#: Marks side by side, which are one piece, and the underscore, which is a mark as well.
-_JOINED = re.compile(r"[^\w\s][^\w\s]|_|'")
+#: All but ASCII without controls, blanks, and composed Latin letters with a lower case of their own: for
+#: these alone the classes and the case rules of Python and of the tokenizer are the same.
+_OTHERS = re.compile("[^\t\n\v\f\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]")
+#: Marks side by side, which are one piece, and what may begin a contraction.
+_JOINED = re.compile(r"[!-/:-@\[-`{-~]{2}|'")
 _TRIED = ("Onion", "Forêt", "ŒUVRE", "straße")
 _WORKER: dict[str, "Encoder"] = {}
 
@@ -56,11 +57,12 @@ class Memory:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes.
 
-    Where the tokenizer drops white space and case (tested once on load), a text of Latin
-    letters is the concatenation of its lower-cased words, and a word without apostrophes that
-    of its runs of letters and of others; those are remembered. Runs of letters go straight
-    to the library's model as byte letters, which is what its own first steps would make of
-    them (tested on load too); all else goes through the whole library. Any other tokenizer gets whole texts.
+    Where the tokenizer drops white space and case (tested once on load), a text of printable
+    ASCII, blanks and Latin letters is the concatenation of its lower-cased words, and a word without
+    apostrophes that of its runs of letters and of others; those are remembered. Runs of letters go
+    straight to the library's model as byte letters, which is what its own first steps would make of
+    them (tested on load too); all else goes through the whole library, and so do whole texts that
+    have any other character or one of the vocabulary's added tokens. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -70,6 +72,7 @@ class Encoder:
         self._library = Tokenizer.from_file(path)
         self._model = self._library.model
         self._letters = _byte_letters()
+        self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._pieces = Memory()
         a, b, both = self._encode(["Onion,", "tree.", "onion, tree.\n"])
         self._by_word = a + b == both and [self._run(w.lower()) for w in _TRIED] == self._encode(list(_TRIED))
@@ -93,7 +96,7 @@ class Encoder:
 
     def _split(self, text: str) -> list[str] | None:
         """A text's pieces and, between some of them, nothing; None for a text that the library takes whole."""
-        if not text.isascii() and _OTHER_LETTERS.search(text):
+        if _OTHERS.search(text) or any(t in text for t in self._added):
             return None
         low = text.lower().replace("\n", " ")
         if not _JOINED.search(low):  # a comma or full stop is a piece of its own

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and on awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -264,6 +265,16 @@ def test_encoder_is_the_library(library):
     assert all(got[t] == ids_of(library, t, 7).tobytes() for t in HARD)
 
 
+def test_encoder_is_the_library_on_thousands_of_strings(library):
+    """Seeded strings of added tokens, controls, marks, digits, letters of several scripts and combining marks."""
+    draw = random.Random(11)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "'s", "'LL", "n't", ".\x1c", ",\x1c", "\x1d", "\x85", "\u00a0", "\u200b", "\u3000", "e\u0301", "\u0130", "\u0149", "\u017f", "\u03a3", "\u1e9e", "\ufb01", "\u00b2", "\u00bd", "\u00aa", "\u0660", "\u4e2d", "\U0001f600", "\x00", "\x7f", "\x0b", "\x0c"]
+    plain = [*map(chr, range(32, 127)), *map(chr, range(0xA0, 0x180)), "\t", "\n", "\r", " ", " ", "the", "Onion", "\u00c9t\u00e9", "12", ". ", ", "]
+    texts = ["".join(draw.choice(parts if draw.random() < share else plain) for _ in range(draw.randint(1, 14))) for share in (0, 0.05, 0.4) for _ in range(2500)]
+    got = dict(tokens.encoded([(t, t) for t in texts], tokens.default_vocabulary(), 7))
+    assert [t for t in texts if got[t] != ids_of(library, t, 7).tobytes()] == []
+
+
 def test_token_files(spark, awkward, documents, library):
     start, want = 0, []
     for i, t in documents:
