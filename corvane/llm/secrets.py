@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.llm.storage import stored
 
@@ -24,32 +25,50 @@ _QUICK = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 #: What the method adds: long runs of letters and digits outside the base spans that few owners share.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 ADDED = "owned"
-#: Owners from which a value counts as a widely copied example.
-EXAMPLE_OWNERS = 3
+#: Owners, or repositories of whatever owners, from which a value counts as a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
 #: Parts into which the rows of one value are divided where its counts go back to them.
 SALTS = 64
 
 
-def _spans(text: Column, kind: str, number: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of a pattern's matches in code points: what stands between the matches gives their places."""
-    found = F.when(
-        text.rlike(pattern),
-        F.arrays_zip(
-            F.transform(F.slice(F.split(text, pattern), 1, F.size(F.split(text, pattern)) - 1), F.char_length).alias("gap"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
-        ),
-    ).otherwise(F.array().cast("array<struct<gap:int,match:string,value:string>>"))
-    lengths = F.transform(found, lambda x: x["gap"] + F.char_length(x["match"]))
-    stops = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda n, x: n + x))
-    placed = F.zip_with(
-        found,
-        stops,
-        lambda x, stop: F.struct(
-            (stop - F.char_length(x["match"])).alias("start"), F.lit(number).alias("place"), stop.alias("stop"), F.lit(kind).alias("kind"), x["value"].alias("value")
-        ),
+def _found(text: Column, kind: str, number: int, pattern: str, group: int) -> Column:
+    """A pattern's matches in turn: number in the text, characters since the match before, length and value."""
+    zipped = F.arrays_zip(
+        F.transform(F.split(text, pattern), F.char_length).alias("gap"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    return F.filter(placed, lambda x: F.char_length(x["value"]) >= least)
+    made = F.transform(
+        F.filter(zipped, lambda x: x["match"].isNotNull()),  # what follows the last match has none
+        lambda x, i: F.struct(F.lit(number).alias("place"), F.lit(kind).alias("kind"), i.alias("number"), x["gap"].alias("gap"), F.char_length(x["match"]).alias("width"), x["value"].alias("value")),
+    )
+    return F.when(text.rlike(pattern), made).otherwise(F.array().cast("array<struct<place:int,kind:string,number:int,gap:int,width:int,value:string>>"))
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """row, owner, repository, and start, place, stop, kind and value of every base span, and of added ones that overlap none.
+
+    The matches of a text are rows here. Running sums give their places and running extremes what
+    overlaps, so the work is in proportion to the matches, or n log n for their sort.
+    """
+    so_far = Window.partitionBy("row", "place").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (
+        rows.select("row", "owner", "repository", F.explode("found").alias("m"))
+        .select("row", "owner", "repository", "m.*")
+        .withColumn("stop", F.sum(F.col("gap") + F.col("width")).over(so_far).cast("int"))
+        .withColumn("start", F.col("stop") - F.col("width"))
+    )
+    long_enough = F.lit(False)
+    for i, (_, _, _, least) in enumerate(BASE):
+        long_enough = long_enough | ((F.col("place") == i) & (F.char_length("value") >= least))
+    added = F.col("place") == len(BASE)
+    fitting = placed.where(long_enough | (added & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")))
+    by_start = Window.partitionBy("row").orderBy("start")
+    reached = F.max(F.when(~added, F.col("stop"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
+    follows = F.min(F.when(~added, F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing))
+    overlaps = F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(follows < F.col("stop"), F.lit(False))
+    kept = fitting.withColumn("overlaps", overlaps).where(~(added & F.col("overlaps")))
+    return kept.select("row", "owner", "repository", F.struct("start", "place", "stop", "kind", "value").alias("span"))
 
 
 def _digest(spans: Column) -> Column:
@@ -61,9 +80,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
     ``spans`` holds (start, place, stop, kind, value) in order of start and kind: every base
     span, and of the added candidates those that are owner-specific. Each value, base or added,
-    is counted by its distinct owners and repositories over all rows: one with
-    ``EXAMPLE_OWNERS`` or more owners is an example that was copied around (n_example), any other
-    a credential that looks live (n_live).
+    is counted by its distinct owners and repositories over all rows: one with ``EXAMPLE_OWNERS``
+    or more owners, or ``EXAMPLE_REPOSITORIES`` or more repositories, is an example that was copied
+    around (n_example), any other a credential that looks live (n_live).
 
     A null text counts as empty, a null owner or repository as one of its own. Repeated rows and
     identifiers each keep a row of their own; an empty table gives no rows. Other columns are not read.
@@ -72,32 +91,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     repository = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repository_cols])
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), repository.alias("repository"), text.alias("body"))
     body = F.col("body")
-    base = F.array_sort(F.concat(*[_spans(body, kind, i, _QUICK.get(kind, pattern), group, least) for i, (kind, pattern, group, least) in enumerate(BASE)]))
-    loose = F.filter(_spans(body, ADDED, len(BASE), CANDIDATE, 0, 20), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]"))
+    found = F.concat(*[_found(body, kind, i, _QUICK.get(kind, pattern), group) for i, (kind, pattern, group, _) in enumerate(BASE)], _found(body, ADDED, len(BASE), CANDIDATE, 0))
     # the row number is drawn once, and the rows stored with it
-    rows = stored(read.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", base.alias("base"), loose.alias("loose")))
+    rows = stored(read.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", found.alias("found")))
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    values = stored(_spans(rows.where(F.size("found") > 0)).withColumn("hash", F.sha2("span.value", 256)).withColumn("salt", salt))
 
-    apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    values = (
-        rows.select("row", "owner", "repository", F.explode(F.concat("base", apart)).alias("span"))
-        .withColumn("hash", F.sha2("span.value", 256))
-        .withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    )
     holders = values.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
     counts = holders.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
     known = values.select("hash", "salt").distinct().join(counts, "hash")  # at most `SALTS` rows a value
     told = values.join(known, ["hash", "salt"])
-    live = F.col("owners") < EXAMPLE_OWNERS
+    live = (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES)
+    added = F.col("span.kind") == ADDED
     by_row = told.groupBy("row").agg(
-        F.collect_list(F.when(live & (F.col("span.kind") == ADDED), F.col("span"))).alias("added"),
+        F.array_sort(F.collect_list(F.when(~added, F.col("span")))).alias("base"),
+        F.array_sort(F.collect_list(F.when(live | ~added, F.col("span")))).alias("spans"),
         F.count_if(live).alias("n_live"),
         F.count_if(~live).alias("n_example"),
     )
-    none = F.array().cast(rows.schema["base"].dataType)
-    return rows.join(by_row, "row", "left").select(
+    none = F.array().cast(by_row.schema["base"].dataType)
+    return rows.select("row", "doc_id").join(by_row, "row", "left").select(
         "doc_id",
-        "base",
-        F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"),
+        F.coalesce("base", none).alias("base"),
+        F.coalesce("spans", none).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_example", F.lit(0)).alias("n_example"),
     )
@@ -136,8 +152,8 @@ base AS (SELECT * FROM flat WHERE {" OR ".join(f"(kind = '{kind}' AND length(val
 loose AS (SELECT * FROM flat f WHERE kind = '{ADDED}' AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
           AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = f.row AND b.start < f.stop AND f.start < b.stop)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM loose),
-counts AS (SELECT value, count(DISTINCT owner) AS owners FROM every GROUP BY value),
-told AS (SELECT every.*, owners >= {EXAMPLE_OWNERS} AS example, kind || ':' || start || ':' || stop AS said FROM every JOIN counts USING (value)),
+counts AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT struct_pack(o := owner, r := repository)) AS repositories FROM every GROUP BY value),
+told AS (SELECT every.*, owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} AS example, kind || ':' || start || ':' || stop AS said FROM every JOIN counts USING (value)),
 by_row AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
                   string_agg(said, ',' ORDER BY start, place) FILTER (kind <> '{ADDED}') AS base,
                   string_agg(said, ',' ORDER BY start, place) FILTER (kind <> '{ADDED}' OR NOT example) AS spans,
