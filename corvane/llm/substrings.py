@@ -7,26 +7,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.windows import Hashes, Windows, one_by_one, repeated_spans
+from corvane.llm.windows import Windows, candidate_places, one_by_one, repeated_spans
 
 #: Words of the shortest factor that is a duplicate.
 FACTOR = 13
+# Fixed odd multipliers of the words of a run, for either hash.
+_ODD = (np.random.default_rng(20240313).integers(1, 1 << 63, (2, FACTOR), dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
 
 
-def _seeds(rows: list[tuple[bytes]]) -> Windows:
-    """All seeds, runs of ``FACTOR`` words, of the texts."""
-    split = [t.split() for (t,) in rows]
-    data = np.frombuffer(b" ".join(b" ".join(w) for w in split if w) + b" ", np.uint8)
-    stops = np.flatnonzero(data == 32)
-    starts = np.append(0, stops[:-1] + 1)
-    words = np.array([len(w) for w in split], np.int64)
-    counts = np.maximum(words - FACTOR + 1, 0)
-    firsts = np.cumsum(words) - words  # of each text's words
-    at = np.repeat(firsts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    return Windows(counts, np.empty(0, np.int64), np.arange(len(at)), Hashes(data).ranges(starts[at], stops[at + FACTOR - 1]))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+class Seeds:
+    """Runs of ``FACTOR`` words of texts in turn, with two 64-bit hashes that have nothing in common."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        split = [t.split() for t in texts]
+        words = np.array([len(w) for w in split], np.int64)
+        self.counts = np.maximum(words - FACTOR + 1, 0)
+        firsts = np.cumsum(words) - words  # of each text's words
+        self._at = np.repeat(firsts - (np.cumsum(self.counts) - self.counts), self.counts) + np.arange(self.counts.sum())
+        digest = xxhash.xxh3_128_digest
+        self._words = np.frombuffer(b"".join([digest(w) for ws in split for w in ws]), "<u8").reshape(-1, 2)
+
+    def hashes(self, half: int) -> np.ndarray:
+        """Of every run, from one half of its words' 128-bit hashes, each multiplied by its place's odd number."""
+        n = len(self._words) - FACTOR + 1
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        h, out = _mixed(self._words[:, half]), np.zeros(n, np.uint64)
+        for k in range(FACTOR):
+            out += h[k : k + n] * np.uint64(_ODD[half][k])
+        return _mixed(out)[self._at]
+
+
+def _places(rows: list[tuple[bytes]]) -> Windows:
+    """All seeds of the texts."""
+    seeds = Seeds([t for (t,) in rows])
+    return Windows(seeds.counts, np.empty(0, np.int64), np.arange(seeds.counts.sum()), seeds.hashes(0), second=seeds.hashes(1))
+
+
+def _checked(rows: list[tuple[bytes, list[int] | None, list[int] | None]]) -> Windows:
+    """The candidates among the seeds, by their other hash; texts without any are not split."""
+    wanted = [i for i, (_, later, check) in enumerate(rows) if later or check]
+    seeds = Seeds([rows[i][0] for i in wanted])
+    bases = np.cumsum(seeds.counts) - seeds.counts
+    at = [np.concatenate([np.empty(0, np.int64), *(bases[j] + np.asarray(rows[i][kind], np.int64) for j, i in enumerate(wanted) if rows[i][kind])]) for kind in (1, 2)]
+    counts = np.zeros(len(rows), np.int64)
+    counts[wanted] = seeds.counts
+    return Windows(counts, at[0], at[1], seeds.hashes(1)[at[1]])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,10 +78,16 @@ def factor_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     be stitched from several documents. The index is spread over tasks by hash range;
     documents are compared with all of it by sending it their seeds, packed by block, instead of
     the blocks of the reference visiting every document.
+
+    A first lookup by about 47 bits finds candidates, which both sides of a match send again with an
+    independent 64-bit hash: only seeds that agree in both are removed. Words are hashed whole
+    by a 128-bit function, so no text makes seeds collide by its structure.
     """
     rows = _keyed(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return repeated_spans(rows, _seeds, FACTOR, size // 6)
+    places = candidate_places(rows, _places, size // 6)
+    told = rows.join(places, "key", "left").select("doc_id", "key", "text", "later", "check")
+    return repeated_spans(told, _checked, FACTOR, size // 12)
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

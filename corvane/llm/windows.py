@@ -25,6 +25,8 @@ BLOCK_BYTES = 6 << 20
 RANGE_WINDOWS = 1_500_000
 #: Rows in an Arrow batch; a block's windows of one range are a row of up to some hundred kilobytes.
 BATCH_ROWS = 100
+#: Bytes of a hash that are sent where what they find is looked at again; the range of hashes has more bits.
+CANDIDATE_BYTES = 5
 #: The identifier that stands for null: before all others.
 NULL_ID = -(1 << 63)
 
@@ -94,11 +96,14 @@ def _unpress(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.int64)
 
 
-def _later(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether each hash also stands at a smaller identifier."""
-    order = np.argsort(hashes, kind="stable")
+def _later(hashes: np.ndarray, ids: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """Whether each hash, with the second one if given, also stands at a smaller identifier."""
+    order = np.argsort(hashes, kind="stable") if second is None else np.lexsort((second, hashes))
     sorted_ = hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(order) else np.empty(0, np.int64)
+    new = sorted_[1:] != sorted_[:-1]
+    if second is not None:
+        new |= second[order][1:] != second[order][:-1]
+    first = np.flatnonzero(np.append(True, new)) if len(order) else np.empty(0, np.int64)
     least = np.minimum.reduceat(ids[order], first) if len(order) else ids
     out = np.empty(len(hashes), bool)
     out[order] = ids[order] > np.repeat(least, np.diff(np.append(first, len(order))))
@@ -120,16 +125,16 @@ class Windows(NamedTuple):
     open: np.ndarray  #: places to look up, likewise
     codes: np.ndarray  #: their hashes
     parts: np.ndarray | None = None  #: second hashes, compared only among equal first ones
+    second: np.ndarray | None = None  #: second hashes that are not sent, to settle within a block what is equal in both
 
 
 Hasher = Callable[[list[tuple]], Windows]
 
 
-def _sent(number: int, ids: list[int], keys: list[int], found: Windows, ranges: int) -> pa.RecordBatch:
+def _sent(number: int, ids: list[int], keys: list[int], found: Windows, ranges: int, width: int) -> pa.RecordBatch:
     bounds = np.concatenate([[0], np.cumsum(found.counts)]).astype(np.int64)
     owners = np.array(ids)[np.searchsorted(bounds, found.open, side="right") - 1] if len(found.open) else np.empty(0, np.int64)
-    whole = found.codes if found.parts is None else found.codes ^ (found.parts * np.uint64(_BASE))
-    here = _later(whole, owners)  # settled within the block
+    here = _later(found.codes, owners, found.second if found.parts is None else found.parts)  # settled within the block
     settled = np.sort(np.concatenate([found.settled, found.open[here]]))
     pressed = _press(np.array(ids)), _press(bounds)
     # a negative bucket: the block itself, with the places that are settled already
@@ -139,7 +144,7 @@ def _sent(number: int, ids: list[int], keys: list[int], found: Windows, ranges:
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(ranges + 1))
     parts = [] if found.parts is None else [_bytes(found.parts[~here], 8)]  # whole: equal parts settle windows unseen
-    packed = np.concatenate([_bytes(codes, _width(ranges)), *parts], axis=1)
+    packed = np.concatenate([_bytes(codes, width), *parts], axis=1)
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         mine = order[cuts[k] : cuts[k + 1]]
         rows.append((k, number, pressed[0], b"", pressed[1], _press(places[mine]), packed[mine].tobytes()))
@@ -161,8 +166,9 @@ def _integers(packed: np.ndarray) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def send(docs: DataFrame, hasher: Hasher, ranges: int) -> DataFrame:
-    """Blocks of ``docs`` (doc_id, key, text and whatever else the hasher takes) with their windows by range of hashes."""
+def send(docs: DataFrame, hasher: Hasher, ranges: int, width: int | None = None) -> DataFrame:
+    """Blocks of ``docs`` (doc_id, key, text and whatever else the hasher takes) with their windows by range of hashes, of which ``width`` bytes are sent."""
+    width = width or _width(ranges)
 
     def sender(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -174,16 +180,23 @@ def send(docs: DataFrame, hasher: Hasher, ranges: int) -> DataFrame:
                 rows.append(((text or "").encode("utf-8", "surrogatepass"), *more))
                 size += len(rows[-1][0])
                 if size >= BLOCK_BYTES:
-                    yield _sent(number, ids, keys, hasher(rows), ranges)
+                    yield _sent(number, ids, keys, hasher(rows), ranges, width)
                     number, ids, keys, rows, size = number + 1, [], [], [], 0
         if ids:
-            yield _sent(number, ids, keys, hasher(rows), ranges)
+            yield _sent(number, ids, keys, hasher(rows), ranges, width)
 
     return docs.mapInArrow(sender, _SENT)
 
 
-def _by_code(codes: np.ndarray, parts: np.ndarray | None, ids: np.ndarray) -> list[np.ndarray]:
-    """Which entries are later, and which to check: the first of their part, where other parts share the code."""
+def _by_code(codes: np.ndarray, parts: np.ndarray | None, ids: np.ndarray, candidates: bool) -> list[np.ndarray]:
+    """Which entries are later, and which to check: the first of their part, where other parts share the code, or all that share a code if they are mere candidates."""
+    if candidates:
+        order = np.argsort(codes, kind="stable")
+        new = np.flatnonzero(np.append(True, np.diff(codes[order]) != 0))
+        sizes, of = np.diff(np.append(new, len(order))), ids[order]
+        check = np.empty(len(order), bool)
+        check[order] = np.repeat(np.minimum.reduceat(of, new) != np.maximum.reduceat(of, new), sizes)
+        return [np.zeros(len(order), bool), check]
     if parts is None:
         return [_later(codes, ids)]
     order = np.lexsort((ids, parts, codes))
@@ -197,8 +210,9 @@ def _by_code(codes: np.ndarray, parts: np.ndarray | None, ids: np.ndarray) -> li
     return [later, check]
 
 
-def answer(sent: DataFrame, ranges: int) -> DataFrame:
+def answer(sent: DataFrame, ranges: int, width: int | None = None, candidates: bool = False) -> DataFrame:
     """The blocks themselves, and of each range the places of every block that are LATER or to CHECK."""
+    width = width or _width(ranges)
 
     def told(rows: list[tuple]) -> pa.RecordBatch:
         types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
@@ -210,11 +224,11 @@ def answer(sent: DataFrame, ranges: int) -> DataFrame:
             blocks.append(block)
             at.append(_unpress(places))
             bytes_ = np.frombuffer(packed, np.uint8).reshape(len(at[-1]), -1)
-            codes.append(_integers(bytes_[:, : _width(ranges)]))
-            parts.append(_integers(bytes_[:, _width(ranges) :]) if bytes_.shape[1] > _width(ranges) else None)
+            codes.append(_integers(bytes_[:, :width]))
+            parts.append(_integers(bytes_[:, width:]) if bytes_.shape[1] > width else None)
             ids.append(_unpress(table)[np.searchsorted(_unpress(bounds), at[-1], side="right") - 1])
         two = parts[0] is not None
-        found = _by_code(np.concatenate(codes), np.concatenate(parts) if two else None, np.concatenate(ids))
+        found = _by_code(np.concatenate(codes), np.concatenate(parts) if two else None, np.concatenate(ids), candidates)
         cuts = np.cumsum([0, *map(len, at)]).tolist()
         hits = [(block, None, None, kind, at[n][mask[cuts[n] : cuts[n + 1]]]) for kind, mask in enumerate(found) for n, block in enumerate(blocks)]
         return told([(*h[:4], _press(h[4])) for h in hits if len(h[4])])
@@ -292,6 +306,13 @@ def repeated_spans(docs: DataFrame, hasher: Hasher, window: int, windows: int) -
     return _by_document(answer(send(docs, hasher, ranges), ranges), spans, ["spans"])
 
 
+def candidate_places(docs: DataFrame, hasher: Hasher, windows: int) -> DataFrame:
+    """key, later and check: places that start earlier within their block, and those whose hash, cut to ``CANDIDATE_BYTES``, another document has too."""
+    ranges = ranges_for(windows)
+    sent = send(docs, hasher, ranges, CANDIDATE_BYTES)
+    return _by_document(answer(sent, ranges, CANDIDATE_BYTES, candidates=True), lambda places: [p.tolist() for p in places], ["later", "check"])
+
+
 def sorted_places(docs: DataFrame, hasher: Hasher, windows: int) -> DataFrame:
     """key, later and check: the places of each document by kind, for a hasher with parts."""
     ranges = ranges_for(3 * windows)  # two hashes each, and sorted by both

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -143,6 +144,26 @@ def test_substrings(spark, awkward, documents):
     assert substrings.removal_report(awkward.limit(0)).count() == 0
 
 
+def test_words_made_to_collide_stay(spark):
+    """Words that a polynomial hash modulo a power of two cannot tell apart, and candidates whose short hashes agree."""
+    word = "".join("ab"[n.bit_count() & 1] for n in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"r{i}" for i in range(12))
+    docs = [(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{word} {rest} more")]
+    got = {r.doc_id: r.n_removed for r in substrings.removal_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_candidates_that_differ_stay(spark, monkeypatch, documents):
+    """With one byte of the first hash sent, nearly everything is a candidate, and the second hash decides."""
+    from corvane.llm import windows
+
+    monkeypatch.setattr(windows, "CANDIDATE_BYTES", 1)
+    df = spark.createDataFrame(documents[:60], "doc_id long, text string")
+    want = {i: len(gone) for i, _, gone, _ in check_windows(documents[:60], 13, lambda t: (t or "").encode().split(), None)}
+    assert {r.doc_id: r.n_removed for r in substrings.removal_report(df).collect()} == want
+
+
 def test_suffixes(spark, awkward, documents):
     def expected(docs):
         out = []
@@ -376,6 +397,18 @@ def test_secrets(spark, awkward):
     assert secrets.scan(awkward.limit(0)).count() == 0 and secrets.scan(awkward).count() == len(AWKWARD)
 
 
+def test_secrets_in_a_text_of_many_matches(spark):
+    """Twenty thousand digests, assignments and loose runs in one text, and a value that one owner has in many repositories."""
+    many = "\n".join(f"token={n:06d}x {hashlib.md5(str(n).encode()).hexdigest()} Key{n:020d}" for n in range(7000))
+    docs = [(1, many, "en", "s1"), *((10 + n, "lone Abcdefghij0123456789XYZ here", f"l{n}", "s1") for n in range(secrets.EXAMPLE_REPOSITORIES))]
+    began = time.monotonic()
+    rows = {r.doc_id: r for r in secrets.scan_report(secrets.scan(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))).collect()}
+    assert time.monotonic() - began < 60
+    assert rows[1].base_sha256 == hashlib.sha256(",".join(base_spans(many)).encode()).hexdigest() and rows[1].n_assign == rows[1].n_hex == 7000
+    assert rows[1].spans.count("owned:") == 7000
+    assert rows[10].spans == "" and rows[10].n_example == 1
+
+
 def hits_by_hand(docs, items, size=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = defaultdict(set)
