@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.windows import Windows, candidate_places, one_by_one, repeated_spans
+from corvane.llm.windows import Windows, one_by_one, repeated_spans
 
 #: Words of the shortest factor that is a duplicate.
 FACTOR = 13
@@ -54,17 +54,6 @@ def _places(rows: list[tuple[bytes]]) -> Windows:
     return Windows(seeds.counts, np.empty(0, np.int64), np.arange(seeds.counts.sum()), seeds.hashes(0), second=seeds.hashes(1))
 
 
-def _checked(rows: list[tuple[bytes, list[int] | None, list[int] | None]]) -> Windows:
-    """The candidates among the seeds, by their other hash; texts without any are not split."""
-    wanted = [i for i, (_, later, check) in enumerate(rows) if later or check]
-    seeds = Seeds([rows[i][0] for i in wanted])
-    bases = np.cumsum(seeds.counts) - seeds.counts
-    at = [np.concatenate([np.empty(0, np.int64), *(bases[j] + np.asarray(rows[i][kind], np.int64) for j, i in enumerate(wanted) if rows[i][kind])]) for kind in (1, 2)]
-    counts = np.zeros(len(rows), np.int64)
-    counts[wanted] = seeds.counts
-    return Windows(counts, at[0], at[1], seeds.hashes(1)[at[1]])
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
@@ -79,15 +68,13 @@ def factor_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     documents are compared with all of it by sending it their seeds, packed by block, instead of
     the blocks of the reference visiting every document.
 
-    A first lookup by about 47 bits finds candidates, which both sides of a match send again with an
-    independent 64-bit hash: only seeds that agree in both are removed. Words are hashed whole
-    by a 128-bit function, so no text makes seeds collide by its structure.
+    Words are hashed whole by a 128-bit function, so no text makes seeds collide by its
+    structure. A seed has two independent 64-bit hashes: one chooses the range, the other is
+    compared there, so r ranges tell seeds apart by 64 + log2(r) bits, and r grows with the input.
     """
     rows = _keyed(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    places = candidate_places(rows, _places, size // 6)
-    told = rows.join(places, "key", "left").select("doc_id", "key", "text", "later", "check")
-    return repeated_spans(told, _checked, FACTOR, size // 12)
+    return repeated_spans(rows, _places, FACTOR, size // 6)
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,6 +25,7 @@ STRING, ANCHOR = 50, 24
 STRETCH = 1 << 18
 #: Anchors as a share of bytes, about, and windows to look at singly.
 _ANCHORS_IN, _SINGLY_IN = 13, 20
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _anchors(hashes: np.ndarray) -> np.ndarray:
@@ -89,7 +90,7 @@ def _by_phrase(rows: list[tuple[bytes]]) -> Windows:
     for some, p in _of_texts(texts):
         counts[some] = np.bincount(p.doc, minlength=len(some))
         if len(p.first):
-            codes.append(p.small[p.anchor])
+            codes.append(p.small[p.anchor] * _SPREAD)  # anchors have small hashes: spread over the ranges again
             parts.append(p.hashes.ranges(p.first, p.last + STRING))
     return Windows(counts, np.empty(0, np.int64), np.arange(counts.sum()), np.concatenate(codes), np.concatenate(parts))
 

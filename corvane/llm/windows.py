@@ -25,8 +25,8 @@ BLOCK_BYTES = 6 << 20
 RANGE_WINDOWS = 1_500_000
 #: Rows in an Arrow batch; a block's windows of one range are a row of up to some hundred kilobytes.
 BATCH_ROWS = 100
-#: Bytes of a hash that are sent where what they find is looked at again; the range of hashes has more bits.
-CANDIDATE_BYTES = 5
+#: Bytes that are sent of a hash that only groups what second hashes tell apart.
+GROUP_BYTES = 5
 #: The identifier that stands for null: before all others.
 NULL_ID = -(1 << 63)
 
@@ -98,10 +98,10 @@ def _unpress(data: bytes) -> np.ndarray:
 
 def _later(hashes: np.ndarray, ids: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
     """Whether each hash, with the second one if given, also stands at a smaller identifier."""
-    order = np.argsort(hashes, kind="stable") if second is None else np.lexsort((second, hashes))
+    order = np.argsort(hashes, kind="stable")
     sorted_ = hashes[order]
     new = sorted_[1:] != sorted_[:-1]
-    if second is not None:
+    if second is not None:  # should hashes of different ones be equal and interleave, more of them are taken for new
         new |= second[order][1:] != second[order][:-1]
     first = np.flatnonzero(np.append(True, new)) if len(order) else np.empty(0, np.int64)
     least = np.minimum.reduceat(ids[order], first) if len(order) else ids
@@ -125,7 +125,7 @@ class Windows(NamedTuple):
     open: np.ndarray  #: places to look up, likewise
     codes: np.ndarray  #: their hashes
     parts: np.ndarray | None = None  #: second hashes, compared only among equal first ones
-    second: np.ndarray | None = None  #: second hashes that are not sent, to settle within a block what is equal in both
+    second: np.ndarray | None = None  #: independent hashes that choose the range, and so tell as many more windows apart as there are ranges
 
 
 Hasher = Callable[[list[tuple]], Windows]
@@ -140,7 +140,8 @@ def _sent(number: int, ids: list[int], keys: list[int], found: Windows, ranges:
     # a negative bucket: the block itself, with the places that are settled already
     rows = [(-1 - number % 0x3FFFFFFF, number, pressed[0], _press(np.array(keys)), pressed[1], _press(settled), b"")]
     places, codes = found.open[~here], found.codes[~here]
-    bucket = ((codes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+    dealt = codes if found.second is None else found.second[~here]
+    bucket = ((dealt >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(ranges + 1))
     parts = [] if found.parts is None else [_bytes(found.parts[~here], 8)]  # whole: equal parts settle windows unseen
@@ -151,11 +152,6 @@ def _sent(number: int, ids: list[int], keys: list[int], found: Windows, ranges:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
 
 
-def _width(ranges: int) -> int:
-    """Bytes of a hash that are sent; from 256 ranges on, the range has the rest."""
-    return 7 if ranges >= 256 else 8
-
-
 def _bytes(values: np.ndarray, width: int) -> np.ndarray:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
 
@@ -166,9 +162,8 @@ def _integers(packed: np.ndarray) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def send(docs: DataFrame, hasher: Hasher, ranges: int, width: int | None = None) -> DataFrame:
+def send(docs: DataFrame, hasher: Hasher, ranges: int, width: int = 8) -> DataFrame:
     """Blocks of ``docs`` (doc_id, key, text and whatever else the hasher takes) with their windows by range of hashes, of which ``width`` bytes are sent."""
-    width = width or _width(ranges)
 
     def sender(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -188,15 +183,8 @@ def send(docs: DataFrame, hasher: Hasher, ranges: int, width: int | None = None)
     return docs.mapInArrow(sender, _SENT)
 
 
-def _by_code(codes: np.ndarray, parts: np.ndarray | None, ids: np.ndarray, candidates: bool) -> list[np.ndarray]:
-    """Which entries are later, and which to check: the first of their part, where other parts share the code, or all that share a code if they are mere candidates."""
-    if candidates:
-        order = np.argsort(codes, kind="stable")
-        new = np.flatnonzero(np.append(True, np.diff(codes[order]) != 0))
-        sizes, of = np.diff(np.append(new, len(order))), ids[order]
-        check = np.empty(len(order), bool)
-        check[order] = np.repeat(np.minimum.reduceat(of, new) != np.maximum.reduceat(of, new), sizes)
-        return [np.zeros(len(order), bool), check]
+def _by_code(codes: np.ndarray, parts: np.ndarray | None, ids: np.ndarray) -> list[np.ndarray]:
+    """Which entries are later, and which to check: the first of their part, where other parts share the code."""
     if parts is None:
         return [_later(codes, ids)]
     order = np.lexsort((ids, parts, codes))
@@ -210,9 +198,8 @@ def _by_code(codes: np.ndarray, parts: np.ndarray | None, ids: np.ndarray, candi
     return [later, check]
 
 
-def answer(sent: DataFrame, ranges: int, width: int | None = None, candidates: bool = False) -> DataFrame:
+def answer(sent: DataFrame, ranges: int, width: int = 8) -> DataFrame:
     """The blocks themselves, and of each range the places of every block that are LATER or to CHECK."""
-    width = width or _width(ranges)
 
     def told(rows: list[tuple]) -> pa.RecordBatch:
         types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
@@ -228,7 +215,7 @@ def answer(sent: DataFrame, ranges: int, width: int | None = None, candidates: b
             parts.append(_integers(bytes_[:, width:]) if bytes_.shape[1] > width else None)
             ids.append(_unpress(table)[np.searchsorted(_unpress(bounds), at[-1], side="right") - 1])
         two = parts[0] is not None
-        found = _by_code(np.concatenate(codes), np.concatenate(parts) if two else None, np.concatenate(ids), candidates)
+        found = _by_code(np.concatenate(codes), np.concatenate(parts) if two else None, np.concatenate(ids))
         cuts = np.cumsum([0, *map(len, at)]).tolist()
         hits = [(block, None, None, kind, at[n][mask[cuts[n] : cuts[n + 1]]]) for kind, mask in enumerate(found) for n, block in enumerate(blocks)]
         return told([(*h[:4], _press(h[4])) for h in hits if len(h[4])])
@@ -252,7 +239,7 @@ def answer(sent: DataFrame, ranges: int, width: int | None = None, candidates: b
     return sent.repartition(ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(answerer, _TOLD)
 
 
-def _by_document(told: DataFrame, make: Callable[[list[np.ndarray]], list[list[int]]], columns: list[str]) -> DataFrame:
+def _by_document(told: DataFrame, ranges: int, make: Callable[[list[np.ndarray]], list[list[int]]], columns: list[str]) -> DataFrame:
     """key and what ``make`` gives for each document that has places; it gets their places of each kind, from 0 on."""
 
     def documents(keys: bytes, bounds: bytes, places: dict[int, list[bytes]]) -> pa.RecordBatch:
@@ -281,7 +268,8 @@ def _by_document(told: DataFrame, make: Callable[[list[np.ndarray]], list[list[i
             yield documents(*table, places)
 
     schema = ", ".join(["key long", *(f"{c} array<int>" for c in columns)])
-    found = told.repartition("block").sortWithinPartitions("block").mapInArrow(collector, schema)
+    # the answers are small but take long to unpack, so their number of partitions is not left to their size
+    found = told.repartition(ranges, "block").sortWithinPartitions("block").mapInArrow(collector, schema)
     return stored(found.groupBy("key").agg(*[F.first(c).alias(c) for c in columns]), batch_rows=BATCH_ROWS)
 
 
@@ -303,17 +291,10 @@ def repeated_spans(docs: DataFrame, hasher: Hasher, window: int, windows: int) -
         return [np.column_stack([starts, stops]).ravel().tolist()]
 
     ranges = ranges_for(windows)
-    return _by_document(answer(send(docs, hasher, ranges), ranges), spans, ["spans"])
-
-
-def candidate_places(docs: DataFrame, hasher: Hasher, windows: int) -> DataFrame:
-    """key, later and check: places that start earlier within their block, and those whose hash, cut to ``CANDIDATE_BYTES``, another document has too."""
-    ranges = ranges_for(windows)
-    sent = send(docs, hasher, ranges, CANDIDATE_BYTES)
-    return _by_document(answer(sent, ranges, CANDIDATE_BYTES, candidates=True), lambda places: [p.tolist() for p in places], ["later", "check"])
+    return _by_document(answer(send(docs, hasher, ranges), ranges), ranges, spans, ["spans"])
 
 
 def sorted_places(docs: DataFrame, hasher: Hasher, windows: int) -> DataFrame:
     """key, later and check: the places of each document by kind, for a hasher with parts."""
     ranges = ranges_for(3 * windows)  # two hashes each, and sorted by both
-    return _by_document(answer(send(docs, hasher, ranges), ranges), lambda places: [p.tolist() for p in places], ["later", "check"])
+    return _by_document(answer(send(docs, hasher, ranges, GROUP_BYTES), ranges, GROUP_BYTES), ranges, lambda places: [p.tolist() for p in places], ["later", "check"])

@@ -145,7 +145,7 @@ def test_substrings(spark, awkward, documents):
 
 
 def test_words_made_to_collide_stay(spark):
-    """Words that a polynomial hash modulo a power of two cannot tell apart, and candidates whose short hashes agree."""
+    """Words that a polynomial hash modulo a power of two cannot tell apart."""
     word = "".join("ab"[n.bit_count() & 1] for n in range(1024))
     other = word.translate(str.maketrans("ab", "ba"))
     rest = " ".join(f"r{i}" for i in range(12))
@@ -154,16 +154,6 @@ def test_words_made_to_collide_stay(spark):
     assert got == {1: 0, 2: 0, 3: 13}
 
 
-def test_candidates_that_differ_stay(spark, monkeypatch, documents):
-    """With one byte of the first hash sent, nearly everything is a candidate, and the second hash decides."""
-    from corvane.llm import windows
-
-    monkeypatch.setattr(windows, "CANDIDATE_BYTES", 1)
-    df = spark.createDataFrame(documents[:60], "doc_id long, text string")
-    want = {i: len(gone) for i, _, gone, _ in check_windows(documents[:60], 13, lambda t: (t or "").encode().split(), None)}
-    assert {r.doc_id: r.n_removed for r in substrings.removal_report(df).collect()} == want
-
-
 def test_suffixes(spark, awkward, documents):
     def expected(docs):
         out = []
@@ -181,6 +171,23 @@ def test_suffixes(spark, awkward, documents):
     assert suffixes.string_report(awkward).count() == len(AWKWARD)
 
 
+def test_anchors_are_spread_over_the_ranges(documents):
+    codes = suffixes._by_phrase([((t or "").encode(),) for _, t in documents]).codes
+    held = np.bincount((codes >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert held.max() < 2 * held.mean()
+
+
+def test_suffixes_over_the_whole_table_and_many_ranges(spark, documents, monkeypatch):
+    """The registered query over every document of the smallest table, with 300 ranges of hashes."""
+    from corvane.llm import windows
+
+    monkeypatch.setattr(windows, "ranges_for", lambda n: 300)
+    want = []
+    for i, u, gone, runs in check_windows(documents, 50, lambda t: (t or "").encode(), None):
+        want.append((i, len(u), len(gone), runs, hashlib.sha256(bytes(x for k, x in enumerate(u) if k not in gone)).hexdigest()))
+    assert rows_of(llm.op6_suffix_dedup(spark, FOLDER)) == sorted(want, key=str)
+
+
 def test_long_texts_are_hashed_in_stretches(monkeypatch):
     monkeypatch.setattr(suffixes, "STRETCH", 300)
     texts = [b"ab c" * 200, b"", b"x" * 49, b"x" * 50, bytes(range(256)) * 4]
