@@ -17,6 +17,7 @@ import corpus_pipeline
 from corvane.llm import components, decontamination, exact, language, lines, packing, secrets, simhash, substrings, suffixes, token_files, tokens
 from corvane.llm import queries as llm
 from corvane.llm.storage import shared_folder, stored
+from test_shingles import kept_by_hand
 
 FOLDER = "/root/testdata/sf0.001"
 A13 = " ".join(f"w{i}" for i in range(13))
@@ -473,8 +474,8 @@ def test_pipeline(spark, documents, library):
     assert {r.doc_id for r in languages.collect()} == set(left)
     last = {t: i for i, t in sorted(left.items())}
     left = {i: t for i, t in left.items() if last[t] == i}
-    group = {i: c for i, _, c in simhash_by_hand(sorted(left.items()))}
-    left = {i: t for i, t in left.items() if group[i] == i}
+    near, _ = kept_by_hand(left.items())
+    left = {i: t for i, t in left.items() if i in near}
     items = duckdb.sql(f"SELECT item_id, text FROM '{FOLDER}/benchmark.parquet'").fetchall()
     dirty = {i for i, _, hit, *_ in hits_by_hand(left.items(), items) if hit}
     left = {i: t for i, t in left.items() if i not in dirty}
