@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,20 +84,26 @@ def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     return parts.agg(F.round(F.sum(q), 6).alias("modularity"))
 
 
-def propagate_labels(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """node and community by synchronous label propagation: each round a node takes its neighbours' heaviest label, ties the smallest.
+def propagate_labels(edges: DataFrame, kept: Callable[[DataFrame], DataFrame], free: int = 10) -> DataFrame:
+    """node and community by synchronous label propagation: each round a node takes its neighbours' heaviest label, ties the smallest, until none changes.
 
-    A round is a join and two aggregations over the edges. The labels start as the nodes; every
-    second round smaller labels only are taken, which keeps two-coloured parts from swapping for ever.
+    A round is a join and two aggregations over the edges, whose labels ``kept`` stores. The labels
+    start as the nodes. Every second round smaller labels only are taken, which keeps two-coloured
+    parts from swapping, and after ``free`` rounds always, so that labels fall and the rounds end.
     """
     ways = edges.select("a", "b", "w").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    labels = ways.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    for i in range(rounds):
+    labels = kept(ways.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
+    i = still = 0
+    while still < (2 if i < free else 1):  # of the two kinds of round neither changes any
         votes = ways.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy("a").agg(F.max_by("community", F.struct("w", -F.col("community"))).alias("best"))
-        joined = labels.join(best, labels["node"] == best["a"], "left")
+        falling = i % 2 == 1 or i >= free
         chosen = F.coalesce("best", "community")
-        labels = joined.select("node", (F.least(chosen, "community") if i % 2 else chosen).alias("community"))
+        joined = labels.join(best, labels["node"] == best["a"], "left")
+        after = kept(joined.select("node", (F.least(chosen, "community") if falling else chosen).alias("community"), F.col("community").alias("before")))
+        labels = after.select("node", "community")
+        still = 0 if after.where("community <> before").count() else still + 1
+        i += 1
     return labels
 
 

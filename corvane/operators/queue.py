@@ -11,13 +11,14 @@ MAX_ATTEMPTS, MAX_PARKS = 3, 20
 
 
 def enqueue(jobs: DataFrame) -> DataFrame:
-    """One row for each live key: highest priority and time, the latest payload, pending again if it had failed."""
+    """One row for each live key: highest priority and time, the latest payload, pending again if it had failed, no attempts or parks yet."""
     live = jobs.where(F.col("state").isin(*LIVE))
     last = lambda c: F.max_by(c, "id")
     folded = live.groupBy("dedupe_key").agg(
         F.max("id").alias("id"), F.max("priority").alias("priority"), F.max("not_before").alias("not_before"), last("payload").alias("payload"), last("state").alias("state")
     )
-    return folded.withColumn("state", F.when(F.col("state") == "failed", "pending").otherwise(F.col("state")))
+    state = F.when(F.col("state") == "failed", "pending").otherwise(F.col("state"))
+    return folded.withColumns({"state": state, "attempts": F.lit(0), "parks": F.lit(0)})
 
 
 def claim(jobs: DataFrame, kind: str, now: int, limit: int) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from corvane.model import Tables, with_views
 from corvane.operators import analytics, vector
 from corvane.queries import query
+from corvane.queries.search import KNN_SQL, knn
+from corvane.scratch import kept
 
 
 @query(
@@ -46,24 +48,29 @@ def tag_counts(t: Tables) -> DataFrame:
     return _tagged(t).groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"))
 
 
-_FREQUENT = _TAGGED + ", often AS (SELECT DISTINCT conv_id, tag FROM tagged WHERE tag IN ('the', 'and', 'was', 'that', 'with', 'for', 'from', 'this', 'que', 'les'))"
+#: Tags that a conversation carries: its most frequent words.
+CARRIED = 8
+_OFTEN = _TAGGED + f""", tf AS (SELECT conv_id, tag, count(*) AS n FROM tagged GROUP BY 1, 2),
+    often AS (SELECT conv_id, tag FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, tag) AS rank FROM tf) WHERE rank <= {CARRIED})"""
 
 
-def _frequent(t: Tables) -> DataFrame:
-    return _tagged(t).where(F.col("tag").isin("the", "and", "was", "that", "with", "for", "from", "this", "que", "les")).distinct()
+def _carried(t: Tables) -> DataFrame:
+    counted = _tagged(t).groupBy("conv_id", "tag").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "tag"))
+    return counted.withColumn("rank", rank).where(F.col("rank") <= CARRIED).select("conv_id", "tag")
 
 
-_PAIRS = _FREQUENT + ", pairs AS (SELECT x.tag AS a, y.tag AS b, count(*) AS n FROM often x JOIN often y ON x.conv_id = y.conv_id AND x.tag < y.tag GROUP BY 1, 2)"
+_PAIRS = _OFTEN + ", pairs AS (SELECT x.tag AS a, y.tag AS b, count(*) AS n FROM often x JOIN often y ON x.conv_id = y.conv_id AND x.tag < y.tag GROUP BY 1, 2)"
 
 
 @query(with_views(_PAIRS + " SELECT * FROM pairs", "turns"))
 def tag_cooc(t: Tables) -> DataFrame:
-    return analytics.tag_pairs(_frequent(t), "conv_id")
+    return analytics.tag_pairs(_carried(t), "conv_id")
 
 
 @query(with_views(_PAIRS + ", c AS (SELECT tag, count(*) AS n FROM often GROUP BY tag) SELECT a, b, pairs.n, round(pairs.n / (x.n + y.n - pairs.n), 6) AS jaccard FROM pairs JOIN c x ON a = x.tag JOIN c y ON b = y.tag", "turns"))
 def tag_jaccard(t: Tables) -> DataFrame:
-    often = _frequent(t)
+    often = _carried(t)
     return analytics.jaccard(analytics.tag_pairs(often, "conv_id"), often.groupBy("tag").agg(F.count("*").alias("n")))
 
 
@@ -178,14 +185,11 @@ def bracket_fill(t: Tables) -> DataFrame:
     return analytics.bracketed(rows, "user_id", ["secs", "event_id"], "seen").select("event_id", "seen", "filled")
 
 
-_EDGES = """edges AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS w
-    FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id - a.vec_id <= 7)"""
+_EDGES = f"{KNN_SQL}, edges AS (SELECT a, b, score AS w FROM knn)"
 
 
 def _edges(t: Tables) -> DataFrame:
-    v = t.embeddings.select("vec_id", "embedding")
-    near = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.col("vec_id") + i)).alias("b"))
-    return near.join(v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b").select("a", "b", F.round(vector.cosine(F.col("x"), F.col("y")), 6).alias("w"))
+    return kept(knn(t).withColumnRenamed("score", "w"))
 
 
 @query(
@@ -199,7 +203,7 @@ def modularity(t: Tables) -> DataFrame:
 
 @query()
 def communities(t: Tables) -> DataFrame:
-    return analytics.propagate_labels(_edges(t).where("w > 0.2"))
+    return analytics.propagate_labels(_edges(t).where("w > 0.2"), kept)
 
 
 @query(

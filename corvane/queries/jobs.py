@@ -22,7 +22,7 @@ def queue_depth(t: Tables) -> DataFrame:
 @query(
     with_views(
         """SELECT dedupe_key, max(id) AS id, CAST(max(priority) AS INTEGER) AS priority, max(not_before) AS not_before, arg_max(payload, id) AS payload,
-        CASE WHEN arg_max(state, id) = 'failed' THEN 'pending' ELSE arg_max(state, id) END AS state FROM jobs WHERE state <> 'done' GROUP BY dedupe_key""",
+        CASE WHEN arg_max(state, id) = 'failed' THEN 'pending' ELSE arg_max(state, id) END AS state, 0 AS attempts, 0 AS parks FROM jobs WHERE state <> 'done' GROUP BY dedupe_key""",
         "jobs",
     )
 )

@@ -83,38 +83,48 @@ def _asked(t: Tables) -> list[float]:
 _COS = f"""cos AS (SELECT vec_id, label, round(least(1.0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {ASKED}))), 6) AS score FROM embeddings)"""
 
 
-@query(f"WITH {_COS} SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM cos ORDER BY rank LIMIT 40")
+# Searches for every row whose number is divisible by 100, against all rows.
+_EACH = """each AS (SELECT q.vec_id AS asked, r.vec_id AS id, r.label AS label, round(least(1.0, list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS score,
+    list_sum(list_transform(range(1, len(r.embedding) + 1), lambda i: CASE WHEN (r.embedding[i] > 0) <> (q.embedding[i] > 0) THEN 1 ELSE 0 END)) AS d FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0)"""
+
+
+def _best_sql(k: int, where: str = "TRUE", source: str = "each") -> str:
+    return f"SELECT asked, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, id) AS rank FROM {source} WHERE {where}) WHERE rank <= {k}"
+
+
+_SHORT = f"short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY d, id) AS place, count(*) OVER (PARTITION BY asked) AS every FROM each) WHERE place <= ceil(every * {vector.SHORTLIST}))"
+
+
+def _queries(t: Tables) -> DataFrame:
+    return t.embeddings.where("vec_id % 100 = 0")
+
+
+@query(f"WITH {_EACH} {_best_sql(40)}")
 def vector_topk(t: Tables) -> DataFrame:
-    return vector.nearest(t.embeddings, _asked(t), 40)
+    return vector.search(t.embeddings, _queries(t), 40)
 
 
-@query(f"WITH {_COS} SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM cos WHERE label IN (1, 3) ORDER BY rank LIMIT 20")
+@query(f"WITH {_EACH} {_best_sql(20, 'label IN (1, 3)')}")
 def vector_filtered_label(t: Tables) -> DataFrame:
-    return vector.nearest(t.embeddings.where(F.col("label").isin(1, 3)), _asked(t), 20)
+    return vector.search(t.embeddings.where(F.col("label").isin(1, 3)), _queries(t), 20)
 
 
-@query(f"WITH {_COS} SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM cos WHERE score >= 0.3 ORDER BY rank LIMIT 100")
+@query(f"WITH {_EACH} {_best_sql(100, 'score >= 0.3')}")
 def vector_floor(t: Tables) -> DataFrame:
-    return vector.nearest(t.embeddings, _asked(t), 100, min_score=0.3)
+    return vector.search(t.embeddings, _queries(t), 100, min_score=0.3)
 
 
-_BITS = f"""q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = {ASKED}),
-    apart AS (SELECT vec_id, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN (embedding[i] > 0) <> (e[i] > 0) THEN 1 ELSE 0 END)) AS d FROM embeddings, q),
-    short AS (SELECT vec_id FROM apart ORDER BY d, vec_id LIMIT 160)"""
-
-
-@query(f"WITH {_COS}, {_BITS} SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM cos JOIN short USING (vec_id) ORDER BY rank LIMIT 20")
+@query(f"WITH {_EACH}, {_SHORT} {_best_sql(20, source='short')}")
 def hamming_shortlist(t: Tables) -> DataFrame:
-    return vector.shortlisted(t.embeddings, _asked(t), 20)
+    return vector.search(t.embeddings, _queries(t), 20, share=vector.SHORTLIST)
 
 
 @query(
-    f"""WITH {_COS}, {_BITS}, f AS (SELECT vec_id FROM cos JOIN short USING (vec_id) ORDER BY score DESC, vec_id LIMIT 20), x AS (SELECT vec_id FROM cos ORDER BY score DESC, vec_id LIMIT 20)
-    SELECT count(f.vec_id) AS found, count(*) AS wanted, round(count(f.vec_id) / count(*), 6) AS recall FROM x LEFT JOIN f USING (vec_id)"""
+    f"""WITH {_EACH}, {_SHORT}, x AS ({_best_sql(20)}), f AS ({_best_sql(20, source='short')})
+    SELECT x.asked, count(f.id) AS found, count(*) AS wanted, round(count(f.id) / count(*), 6) AS recall FROM x LEFT JOIN f ON x.asked = f.asked AND x.id = f.id GROUP BY x.asked"""
 )
 def hamming_shortlist_recall(t: Tables) -> DataFrame:
-    q = _asked(t)
-    return vector.recall(vector.nearest(t.embeddings, q, 20), vector.shortlisted(t.embeddings, q, 20))
+    return vector.recall(vector.search(t.embeddings, _queries(t), 20), vector.search(t.embeddings, _queries(t), 20, share=vector.SHORTLIST))
 
 
 # Documents and vectors share their numbers, so a document's vector is the row of its number.
@@ -197,11 +207,18 @@ def centroids(t: Tables) -> DataFrame:
     return vector.centroids(t.embeddings, "label", 5).withColumn("mean", F.round("mean", 6))
 
 
-@query(
-    """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
-        FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
-    k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM p)
-    SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, score FROM k WHERE r <= 5"""
-)
+# Edges to the ten nearest vectors, all less their mean.
+KNN_SQL = """means AS (SELECT list(mean ORDER BY pos) AS m FROM (SELECT i AS pos, avg(CAST(embedding[i] AS DOUBLE)) AS mean FROM embeddings, range(1, (SELECT max(len(embedding)) + 1 FROM embeddings)) r(i) GROUP BY i)),
+    less AS (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) - m[i]) AS v FROM embeddings, means),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM less a JOIN less b ON a.vec_id <> b.vec_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM p),
+    knn AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, score FROM k WHERE r <= 10)"""
+
+
+def knn(t: Tables) -> DataFrame:
+    return vector.neighbours(vector.centred(t.embeddings), 10)
+
+
+@query(f"WITH {KNN_SQL} SELECT * FROM knn")
 def knn_edges(t: Tables) -> DataFrame:
-    return vector.neighbours(t.embeddings, 5)
+    return knn(t)

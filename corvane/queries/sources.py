@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane import streaming
+from corvane import scratch, streaming
 from corvane.model import Tables, with_views
 from corvane.operators import maintenance
 from corvane.queries import query
@@ -16,8 +13,7 @@ from corvane.sources import logs, snapshots
 
 
 def _scratch(t: Tables) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvane-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return scratch.folder(t.spark)
 
 
 _MERGED = """r AS (SELECT conv_id AS session, turn AS seq, 'm' || (turn // 3) AS message, role, text FROM conversations)"""

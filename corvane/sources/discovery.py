@@ -21,7 +21,7 @@ def verdicts(files: DataFrame, include_hidden: bool = False, largest: int = LARG
     """Adds family, blob_sha and skip_reason to (path, length, content): the first rule that holds, null for a file to index."""
     family = language_family(F.col("path"))
     pruned = F.col("path").rlike(rf"(^|/)({'|'.join(PRUNED)})/")
-    binary = F.instr(F.hex(F.substring("content", 1, SNIFFED)), "00") % 2 == 1
+    binary = F.instr(F.decode(F.substring("content", 1, SNIFFED), "ISO-8859-1"), "\0") > 0  # a character a byte
     reason = F.when(pruned, "pruned").when(~F.lit(include_hidden) & hidden(F.col("path")), "hidden").otherwise(
         F.coalesce(skip_reason(family, F.col("length"), largest, least), F.when(binary, "binary"))
     )

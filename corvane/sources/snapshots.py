@@ -18,11 +18,15 @@ def publish(tables: dict[str, DataFrame], folder: str, snapshot: str) -> str:
         df.write.option("compression", "zstd").mode("errorifexists").parquet(f"{folder}/{snapshot}/{name}")
     manifest = json.dumps({"snapshot": snapshot, "tables": sorted(tables)})
     jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest.json")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(target, True)
+    target, beside = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}") for name in ("manifest.json", f".manifest-{snapshot}.json"))
+    conf = spark._jsc.hadoopConfiguration()
+    out = target.getFileSystem(conf).create(beside, True)
     out.write(bytearray(manifest.encode()))
     out.close()
+    # the new manifest takes the old one's place at once, so that no reader finds it half written
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(beside, target, how)
     return f"{folder}/{snapshot}"
 
 

@@ -31,10 +31,20 @@ def bursts(events: DataFrame, key: str, time: str, quiet: str, late: str = "10 m
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over all there is now, as Parquet; each batch is written under its number, so that a retry overwrites it."""
+    """Run a stream over all there is now, as Parquet; each batch is written under its number, so that a retry overwrites it.
+
+    In complete mode a batch is the whole state, so it takes the place of those before it.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if mode == "complete":
+            spark = batch.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+            for found in fs.listStatus(folder):
+                if found.getPath().getName() != f"batch={number}":
+                    fs.delete(found.getPath(), True)
 
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -11,11 +11,11 @@ from corvane.sources import discovery, logs, snapshots
 
 
 def test_discovery(spark, tmp_path):
-    for name, data in {"a.py": b"x = 1\n", "b.json": b"{}", "c.rs": b"\0\1", "d.xyz": b"?", "node_modules/g.js": b"z", "sub/h.py": b"w"}.items():
+    for name, data in {"a.py": b"x = 1\n", "b.json": b"{}", "c.rs": b"\0\1", "i.py": b"0\n\0", "k.py": b"0 0\x10\x01", "d.xyz": b"?", "node_modules/g.js": b"z", "sub/h.py": b"w"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     got = {r.path: r.skip_reason for r in discovery.discover(spark, str(tmp_path)).collect()}
-    assert got == {"a.py": None, "b.json": "config-format", "c.rs": "binary", "d.xyz": "unsupported-extension", "node_modules/g.js": "pruned", "sub/h.py": None}
+    assert got == {"a.py": None, "b.json": "config-format", "c.rs": "binary", "i.py": "binary", "k.py": None, "d.xyz": "unsupported-extension", "node_modules/g.js": "pruned", "sub/h.py": None}
     listed = spark.createDataFrame([("e.md", 0, b""), (".hid/f.py", 1, b"y")], "path string, length long, content binary")
     assert {r.path: r.skip_reason for r in discovery.verdicts(listed).collect()} == {"e.md": "too-small", ".hid/f.py": "hidden"}
 
@@ -57,3 +57,20 @@ def test_tail_and_replay(spark, tmp_path):
     assert drain() == [1, 2]
     add("b.jsonl", [2, 3])  # a rotated file replays what was seen
     assert drain() == [1, 2, 3]
+
+
+def test_complete_mode_keeps_the_last_state_only(spark, tmp_path):
+    """Two drains of one stream: the second state, which counts all, takes the place of the first."""
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    for n, values in enumerate(([1, 1, 2], [2, 3])):
+        (folder / f"{n}.jsonl").write_text("\n".join(json.dumps({"k": v}) for v in values) + "\n")
+        counted = streaming.tail(spark, str(folder), StructType.fromDDL("k long")).groupBy("k").agg(F.count("*").alias("n"))
+        streaming.drain(counted, str(out), str(tmp_path / "checkpoint"), mode="complete")
+    assert sorted((r.k, r.n) for r in spark.read.parquet(str(out)).collect()) == [(1, 2), (2, 2), (3, 1)]
+
+
+def test_manifest_is_replaced(spark, tmp_path):
+    for name, n in (("first", 1), ("second", 2)):
+        snapshots.publish({"rows": spark.range(n)}, str(tmp_path), name)
+        assert snapshots.current(spark, str(tmp_path))["rows"].count() == n
