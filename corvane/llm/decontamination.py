@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.storage import stored
+from corvane.llm.windows import one_by_one
 
 #: Words of an index segment; a longer document is a segment of its own.
 SEGMENT_WORDS = 500_000
@@ -69,7 +70,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _SEGMENT, strict=True)], schema=_SEGMENT)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in one_by_one(b):
                 found = words(text)
                 ids.append(doc)
                 starts.append(at)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.llm.windows import one_by_one
+
 #: N-grams of a profile, of a language and of a document alike.
 PROFILE = 400
 UNDETERMINED = "und"
@@ -61,7 +63,7 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
             return pa.record_batch(columns, names=["lang", "gram", "n"])
 
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for lang, text in one_by_one(b):
                 texts[lang].append(text)
                 size[lang] += len(text)
                 if size[lang] > LEARN_CHARS:

@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = np.array([fingerprint(t) for t in b.column(1).to_pylist()], "<u8").view("<i8")
+            bits = np.array([fingerprint(b.column(1)[i].as_py()) for i in range(b.num_rows)], "<u8").view("<i8")
             yield pa.record_batch([b.column(0), pa.array(bits)], names=["doc_id", "bits"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(compute, "doc_id long, bits long")

@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane import scratch
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset and all of Spark is on this machine."""
+    return scratch.folder(spark)
 
 
 def stored(df: DataFrame, batch_rows: int | None = None, **options: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """The corpus operators against brute force, and on awkward rows."""
 
+import glob
 import hashlib
 import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -466,6 +468,70 @@ def test_language(spark, awkward):
     assert {r.doc_id for r in language.keep_identified(awkward).collect()} >= {4, 5, 6, 7, 8} and language.keep_identified(awkward).columns == awkward.columns
 
 
+def grams_by_hand(text):
+    words = [w for w in re.split(r"[\W\d_]+", text.lower()) if w]
+    counts = Counter()
+    for w in words:
+        padded = f" {w} "
+        counts.update(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i : i + n].strip())
+    return counts
+
+
+def code_of(gram):
+    code = 0
+    for c in gram:
+        code = code << 21 | ord(c)
+    return code
+
+
+def test_language_by_hand(spark):
+    """Every row of the smallest table: profiles, ranks, ties, out-of-place distance and score, counted with plain dictionaries."""
+    rows = duckdb.sql(f"SELECT doc_id, text, lang FROM '{FOLDER}/documents.parquet'").fetchall()
+    by_lang = defaultdict(Counter)
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None and t is not None:
+            by_lang[lang] += grams_by_hand(t)
+    ranked = lambda counts: sorted(counts, key=lambda g: (-counts[g], code_of(g)))[: language.PROFILE]
+    profiles = {lang: {g: r for r, g in enumerate(ranked(c))} for lang, c in by_lang.items()}
+    want = {}
+    for i, t, _ in rows:
+        mine = ranked(grams_by_hand(t or ""))
+        if not mine:
+            want[i] = ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - r) if g in p else language.PROFILE for r, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want[i] = (best, 1 - far[best] / (language.PROFILE * len(mine)))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in llm.op10_language_id(spark, FOLDER).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+
+
+def test_token_files_have_small_pages_and_encodings(spark):
+    path = shared_folder(spark)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    token_files.write_token_files(docs, path)
+    files = glob.glob(path.removeprefix("file://") + "/part-*.parquet")
+    columns = [pq.ParquetFile(f).metadata.row_group(0).column(c) for f in files for c in range(5) if pq.ParquetFile(f).metadata.num_row_groups]
+    named = defaultdict(list)
+    for c in columns:
+        named[c.path_in_schema.split(".")[0]].append(c)
+    assert all("RLE_DICTIONARY" in c.encodings or "DELTA_BINARY_PACKED" in c.encodings for c in columns)
+    assert all(c.has_offset_index and c.has_column_index for c in named["doc_id"] + named["ids"])
+    assert all(c.compression == "ZSTD" for c in columns)
+
+
+def test_tiers_and_steps(spark, documents):
+    rows = llm.op4_packing(spark, FOLDER).collect()
+    sequences = {r.sequence_id: (r.sequence_tokens, r.step_id) for r in rows}
+    sizes = Counter(n for n, _ in sequences.values())
+    assert set(packing.TIERS) & set(sizes) and sum(n * c for n, c in sizes.items()) == sum(r.length for r in rows)
+    steps = defaultdict(list)
+    for n, step in sequences.values():
+        steps[step].append(n)
+    assert all(len(set(x)) == 1 and sum(x) <= packing.STEP_TOKENS for x in steps.values() if max(x) in packing.TIERS and len(x) > 1 and min(x) >= packing.TIERS[0])
+
+
 def test_pipeline(spark, documents, library):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     languages = stored(corpus_pipeline.language_id(spark, docs, FOLDER))
