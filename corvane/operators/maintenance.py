@@ -59,6 +59,18 @@ def collect_garbage(jobs: DataFrame, elements: DataFrame, summaries: DataFrame,
     return out.withColumn("freed", F.col("total") - F.col("kept"))
 
 
+def wanted_jobs(jobs: DataFrame, raw: DataFrame, smart: DataFrame) -> DataFrame:
+    """Jobs (id, payload) whose JSON payload names a living content: ``raw_hash`` among ``raw``, or the first entry of
+    one of its ``items`` among ``raw`` or ``smart`` (hash each). A payload that names none, or is not JSON, is not wanted."""
+    said = F.from_json("payload", "raw_hash string, items array<array<string>>")
+    firsts = F.transform(said["items"], lambda x: F.struct(F.try_element_at(x, F.lit(1)).alias("hash"), F.lit(True).alias("item")))
+    own = F.array(F.struct(said["raw_hash"].alias("hash"), F.lit(False).alias("item")))
+    named = jobs.select("id", F.inline(F.concat(own, F.coalesce(firsts, F.array().cast("array<struct<hash:string,item:boolean>>"))))).where("hash IS NOT NULL")
+    alive = raw.select("hash", F.lit(False).alias("only_items")).union(smart.select("hash", F.lit(True).alias("only_items"))).groupBy("hash").agg(F.bool_and("only_items").alias("only_items"))
+    kept = named.join(alive, "hash").where("item OR NOT only_items").select("id").distinct()
+    return jobs.join(kept, "id", "left_semi")
+
+
 def tree_inconsistencies(elements: DataFrame, group: list[str], is_root: Column) -> DataFrame:
     """Groups that do not have exactly one root, with the roots' ids in order."""
     roots = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(is_root, F.col("id")))), lambda x: x.cast("string")), ",")

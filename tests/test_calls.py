@@ -78,4 +78,4 @@ def test_element_kind(spark):
 
 def test_row_location(spark):
     got = apply(spark, calls.row_location, ["$.sections[a b].value[x][3]", "$.sections[a].value[0]", "$.sections[a].value", "$.sections[a].value[x]", "rows[1]", None])
-    assert [g and (g.section, list(g.parts), g.index) for g in got] == [("a b", ["x"], 3), ("a", [], 0), None, None, None, None]
+    assert [g and (g["section"], list(g["parts"]), g["index"]) for g in got] == [("a b", ["x"], 3), ("a", [], 0), None, None, None, None]
