@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane import scratch
+
 LEVELS = 6
 #: Width of the deterministic stand-in for an embedding model.
 WIDTH = 32
@@ -69,8 +71,16 @@ def postings(elements: DataFrame) -> DataFrame:
     return elements.select("id", F.explode(tokens).alias("token"))
 
 
+def stored_index(elements: DataFrame) -> DataFrame:
+    """The postings as a table sorted by token, so that a term's prefix skips the row groups without it.
+
+    Ranges are cut by token and id: a token that a third of the elements hold spreads over several files.
+    """
+    return scratch.kept(postings(elements).repartitionByRange("token", "id").sortWithinPartitions("token", "id"))
+
+
 def candidates(index: DataFrame, terms: list[str]) -> DataFrame:
-    """Ids of elements where each term starts a token."""
+    """Ids of elements where each term starts a token; the prefixes reach the scan."""
     hits = [F.max(F.col("token").startswith(t).cast("int")) for t in terms]
     wanted = F.lit(False)
     for t in terms:

@@ -120,6 +120,16 @@ def search(
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
+def admitted(vectors: DataFrame, places: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The vectors of the contents in ``places`` (element_id, blob_sha), one for each content: that of its first element.
+
+    Searched afterwards, they fill a page exactly, so no candidates have to be added until it is full.
+    """
+    held = vectors.select(id_col).join(places.select(F.col("element_id").alias(id_col), "blob_sha"), id_col)
+    first = held.groupBy("blob_sha").agg(F.min(id_col).alias(id_col)).select(id_col)
+    return vectors.join(first, id_col, "left_semi").select(id_col, vector_col)
+
+
 def neighbours(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Undirected edges a < b of the graph where each row points to its ``k`` nearest others, with their cosine."""
     near = search(vectors, vectors, k, itself=False, id_col=id_col, vector_col=vector_col)

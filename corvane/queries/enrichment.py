@@ -40,16 +40,15 @@ def token_postings(t: Tables) -> DataFrame:
 
 @query(
     with_views(
-        _scored_sql("the and with", "kind = 'file'")
+        _scored_sql("the and with", "TRUE")
         + """SELECT id, score FROM scored WHERE regexp_matches(t, '(^|[^a-z0-9_])the') AND regexp_matches(t, '(^|[^a-z0-9_])and') AND regexp_matches(t, '(^|[^a-z0-9_])with')""",
         "turns",
         "elements",
     )
 )
 def lexical_indexed(t: Tables) -> DataFrame:
-    files = t.elements.where("kind = 'file'")
-    ids = parsing.candidates(parsing.postings(files), lexical.query_terms("the and with"))
-    return lexical.scored(files.join(ids, "id", "left_semi"), "the and with").select("id", "score")
+    ids = parsing.candidates(parsing.stored_index(t.elements), lexical.query_terms("the and with"))
+    return lexical.scored(t.elements.join(ids, "id", "left_semi"), "the and with").select("id", "score")
 
 
 @query()

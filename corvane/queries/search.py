@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.model import Tables, with_views
-from corvane.operators import hybrid, lexical, vector
+from corvane.operators import hybrid, lexical, provenance, vector
 from corvane.operators.lexical import SearchFilters
 from corvane.queries import query
 
@@ -109,6 +109,18 @@ def vector_filtered_label(t: Tables) -> DataFrame:
     return vector.search(t.embeddings.where(F.col("label").isin(1, 3)), _queries(t), 20)
 
 
+@query(
+    with_views(
+        f"""{_EACH}, ids AS (SELECT min(vec_id) AS vec_id FROM embeddings JOIN locations ON element_id = vec_id WHERE identity = 'src2' OR starts_with(path, 'fr/') GROUP BY blob_sha)
+        {_best_sql(20, 'id IN (SELECT vec_id FROM ids)')}""",
+        "locations",
+    )
+)
+def vector_scoped(t: Tables) -> DataFrame:
+    scope = t.locations.where((F.col("identity") == "src2") | provenance.path_prefix(F.col("path"), "fr"))
+    return vector.search(vector.admitted(t.embeddings, scope), _queries(t), 20)
+
+
 @query(f"WITH {_EACH} {_best_sql(100, 'score >= 0.3')}")
 def vector_floor(t: Tables) -> DataFrame:
     return vector.search(t.embeddings, _queries(t), 100, min_score=0.3)
