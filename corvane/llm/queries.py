@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.clusters import CLUSTERS_SQL, clustered
+from corvane.llm.codes import CODES_SQL, code_report
 from corvane.llm.decontamination import contamination, contamination_report
 from corvane.llm.exact import exact_groups
 from corvane.llm.language import identify
@@ -13,10 +15,11 @@ from corvane.llm.lines import line_report
 from corvane.llm.packing import pack
 from corvane.llm.secrets import SCAN_SQL, scan, scan_report
 from corvane.llm.simhash import simhash_groups
-from corvane.llm.storage import shared_folder
+from corvane.llm.storage import shared_folder, stored
 from corvane.llm.substrings import removal_report
 from corvane.llm.suffixes import string_report
 from corvane.llm.token_files import read_digests, write_token_files
+from corvane.llm.toxicity import toxicity_report
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +69,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), stored)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_substring_dedup": op2_substring_dedup,
@@ -77,10 +92,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_clusters": op12_clusters,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_secrets": SCAN_SQL,
+    "op11_vector_codes": CODES_SQL,
+    "op12_clusters": CLUSTERS_SQL,
     "op7_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
