@@ -44,12 +44,30 @@ def retrieval_envelope(text: Column, verbs: tuple[str, ...] = VERBS) -> Column:
     return start.startswith("{") & start.contains('"ok"') & value.rlike(rf'^\s*:\s*"{_any(verbs)}("|$)')
 
 
+# What stands before a command that a shell runs, and before one in a JSON value or list.
+SEPARATORS = (";", "|", "(", "{", "!", "[", "&&", ':"', ': "', '["', "['", '("', "('")
+KEYWORDS = ("command", "do", "else", "exec", "nohup", "sudo", "then", "time")
+
+
 def _line_runs(command: str, verbs: tuple[str, ...]) -> str:
-    starts = r"""(?:^|[;|({!\[]|&&|:\x20?"|[\[(]["']|(?:^|\s)(?:do|then|else|time|exec|nohup|sudo|command)\s)"""
-    before = r"""\s*(?:["']?[A-Za-z_]\w*=[^\s"']*\s+)*(?:[^\s"'\[(;|&]*/)?"""
+    """A pattern for one line: start or separator, assignments, path and command, then options (or list items) up to a verb."""
+    starts = rf"(?:^|{_any(SEPARATORS)}|\b{_any(KEYWORDS)}\s)"
+    assigned = r"""(?:["']?[A-Za-z_]\w*=[^\s"']*\s+)*"""
+    path = r"""(?:[^\s"'\[(;|&]*/)?"""
     closing = r"""["'\\)\]]*"""
-    options = rf"""(?:{closing}(?:-[^\s,]*)?[\s,]+)*"""
-    return rf"""{starts}{before}{re.escape(command)}(?=[\s"'\\,]){options}{closing}{_any(verbs)}{closing}(?:[\s,]|$)"""
+    option = rf"""{closing}(?:-[^\s,]*)?[\s,]+"""
+    return rf"""{starts}\s*{assigned}{path}{re.escape(command)}(?=[\s"'\\,])(?:{option})*{closing}{_any(verbs)}{closing}(?:[\s,]|$)"""
+
+
+def _heredoc(line: Column) -> Column:
+    """The word that ends the heredoc which a line writes to a file, else empty.
+
+    Such a line calls ``tee``, or ``cat`` with its output sent on; a heredoc for any other command is read by it and may be code.
+    """
+    words = F.split(_trim(line), r"\s+")
+    writes = F.array_contains(words, "tee") | (F.array_contains(words, "cat") & line.contains(">"))
+    mark = F.translate(F.substring_index(line, "<<", -1), "\"'-", "   ")
+    return F.when(writes & line.contains("<<"), F.regexp_extract(mark, r"^\s*(\w+)", 1)).otherwise("")
 
 
 def runs_retrieval(text: Column, command: str, verbs: tuple[str, ...] = VERBS) -> Column:
@@ -65,10 +83,7 @@ def runs_retrieval(text: Column, command: str, verbs: tuple[str, ...] = VERBS) -
 
     def step(state: Column, line: Column) -> Column:
         inside = state["until"] != ""
-        words = F.split(_trim(line), r"\s+")
-        writes = words[0].isin("cat", "tee") & (line.contains(">") | F.array_contains(words, "tee"))
-        opened = F.when(writes | line.contains("cat >"), F.regexp_extract(line, r"""<<-*\s*["']*([A-Za-z0-9_]+)""", 1)).otherwise("")
-        until = F.when(inside, F.when(_trim(line) == state["until"], "").otherwise(state["until"])).otherwise(opened)
+        until = F.when(~inside, _heredoc(line)).when(_trim(line) == state["until"], "").otherwise(state["until"])
         return F.struct(until.alias("until"), (state["found"] | (~inside & line.rlike(runs))).alias("found"))
 
     return F.aggregate(F.split(plain, "\n"), start, step, lambda s: s["found"])
@@ -90,35 +105,84 @@ def written_path(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*\{"), found).otherwise(_trim(F.split(text, "\n")[0]))
 
 
-def _first(text: Column, pattern: str) -> Column:
-    """The first group of the first match, or null."""
-    found = F.regexp_extract(text, pattern, 1)
-    return F.when(found != "", found)
+# Fixed value: the shape of a seat's name, with or without its host.
+SEAT = "[a-z]+-[a-z0-9-]+"
+_QUOTES = "\"'"
+
+
+def _filled(text: Column) -> Column:
+    """The text, or null if it is empty."""
+    return F.when(text != "", text)
+
+
+def _after(text: Column, mark: str) -> Column:
+    """What follows the first ``mark``, or null."""
+    return F.when(F.contains(text, F.lit(mark)), F.substr(text, F.locate(mark, text) + len(mark)))
+
+
+def _words(text: Column) -> Column:
+    """Words of text that may be escaped: blanks and their escapes part words, quotes and backslashes are left out."""
+    blank = text
+    for escape in ("\\n", "\\t", "\\r"):
+        blank = F.replace(blank, F.lit(escape), F.lit(" "))
+    return F.filter(F.split(F.translate(blank, _QUOTES + "\\", ""), r"\s+"), lambda w: w != "")
+
+
+def _from(words: Column, fits) -> Column:
+    """The words from the first one on that ``fits`` (word, the one before it, which is empty for the first)."""
+    flags = F.transform(words, lambda w, i: fits(w, F.when(i > 0, F.get(words, i - 1)).otherwise("")))
+    at = F.array_position(flags, True)
+    return F.when(at > 0, F.slice(words, at.cast("int"), F.size(words))).otherwise(F.array().cast("array<string>"))
+
+
+def _is_option(word: Column) -> Column:
+    return word.startswith("-")
+
+
+def _value(text: Column, key: str) -> Column:
+    """The JSON string of ``key``, still escaped and with all that follows it, or null; keys and quotes may be escaped themselves."""
+    tail = F.ltrim(_after(F.replace(text, F.lit('\\"'), F.lit('"')), f'"{key}"'))
+    opened = F.ltrim(F.substr(tail, F.lit(2)))
+    return F.when(tail.startswith(":") & opened.startswith('"'), F.substr(opened, F.lit(2)))
 
 
 def sender(body: Column, tool: str) -> Column:
     """The seat in a delivered message's envelope ``[<tool> from <seat>]``."""
-    return _first(body, rf"\[{re.escape(tool)} from ([a-z]+-[a-z0-9-]+(?:@[A-Za-z0-9.-]+)?)\]")
+    seat = F.substring_index(_after(body, f"[{tool} from "), "]", 1)
+    return F.when(seat.rlike(rf"^{SEAT}(@[A-Za-z0-9.-]+)?$") & F.contains(_after(body, f"[{tool} from "), F.lit("]")), seat)
+
+
+def _sent(text: Column, tool: str) -> Column:
+    """The words of a send on a command line from its seat on: options between the call and the seat are left out."""
+    tail = _after(text, f"{tool} send")
+    return _from(_words(F.when(tail.rlike(r"^[\s\\]"), tail)), lambda w, _: ~_is_option(w))
+
+
+def _is_call(text: Column, tool: str) -> Column:
+    return text.startswith(f"[tool-call {tool}_send]")
 
 
 def target(text: Column, tool: str) -> Column:
     """The seat that a send call names: its JSON key ``to``, else the first word after the options of ``<tool> send``."""
-    cli = _first(text, rf"""{re.escape(tool)} send(?:\s+--?[a-z-]+)*\s+["']?([a-z]+-[a-z0-9-]+)""")
-    return F.coalesce(F.when(text.startswith(f"[tool-call {tool}_send]"), _first(text, r'\\?"to\\?"\s*:\s*\\?"([a-z]+-[a-z0-9-]+)')), cli)
+    named = F.when(_is_call(text, tool), F.regexp_extract(_value(text, "to"), f"^{SEAT}", 0))
+    return F.coalesce(_filled(named), _filled(F.regexp_extract(F.get(_sent(text, tool), F.lit(0)), f"^{SEAT}", 0)))
+
+
+def _says(word: Column, before: Column) -> Column:
+    """Whether a word after the seat is the message, not an option, nor what opens a heredoc or the ``cat`` that reads one."""
+    opens = _is_option(word) | word.startswith("<<") | word.isin("$(", "$(cat")
+    return ~opens & ~before.isin("<<", "<<-") & ~((before == "$(") & (word == "cat"))
 
 
 def message_key(text: Column, tool: str, sent: bool) -> Column:
     """The first 40 letters and digits of a message's body, in lower case: equal for a delivered message and the call that
     sent it, whatever the quoting. Null without a body of at least 12."""
-    name = re.escape(tool)
     if sent:
-        call = F.regexp_extract(text, r'(?s)\\?"message\\?"\s*:\s*\\?"(.*)', 1)
-        line = F.regexp_extract(text, rf"""(?s){name} send(?:\s+--?[a-z-]+)*\s+\\?["']?[a-z]+-[a-z0-9-]+\\?["']?(.*)""", 1)
-        opener = r"""^(?:\s|\\[ntr]|\\?["']|--?[a-z-]+(?=\s)|-(?=\s)|\$\(\s*cat|<<-?\s*\\?["']?\w+\\?["']?)+"""
-        body = F.when(text.startswith(f"[tool-call {tool}_send]") & (call != ""), call).otherwise(F.regexp_replace(line, opener, ""))
+        line = _sent(text, tool)
+        body = F.coalesce(F.when(_is_call(text, tool), _words(_value(text, "message"))), _from(F.slice(line, 2, F.greatest(F.size(line), F.lit(1))), _says))
     else:
-        body = F.regexp_extract(text, rf"(?s)\[{name} from [^\]]+\]\s*(.*)", 1)
-    key = F.left(F.regexp_replace(F.regexp_replace(F.lower(body), r"\\[ntr]", " "), "[^a-z0-9]+", ""), F.lit(KEY_CHARS))
+        body = _words(_after(_after(text, f"[{tool} from "), "]"))
+    key = F.left(F.regexp_replace(F.lower(F.array_join(body, "")), "[^a-z0-9]+", ""), F.lit(KEY_CHARS))
     return F.when(F.length(key) >= LEAST_KEY_CHARS, key)
 
 

@@ -71,6 +71,24 @@ def test_messages(spark):
     assert apply(spark, lambda t: calls.message_key(t, "post", False), ["[post from ab-x]\nlook at the parser, please", "none"]) == ["lookattheparserplease", None]
 
 
+SENDS = [
+    ("post send ab-red - <<'EOF'\nlook at the parser please\nEOF", "ab-red", "lookattheparserpleaseeof"),
+    ("post send --urgent 'ab-red' -- \"$(cat <<EOF\nlook at the parser please", "ab-red", "lookattheparserplease"),
+    ("post send ab-red $( cat << EOF\nlook at the parser please", "ab-red", "lookattheparserplease"),
+    ('cd x && post send ab-red@host \\"It\\\\n is - really - <b>done</b>!\\"', "ab-red", "itisreallybdoneb"),
+    ('[tool-call post_send]\n{\\"message\\": \\"Look at the parser, please\\", \\"to\\" : \\"ab-red\\"}', "ab-red", "lookattheparserpleasetoabred"),
+    ("post send --now", None, None),
+    ("post sendab-red", None, None),
+    ("", None, None),
+]
+
+
+@pytest.mark.parametrize(("text", "seat", "key"), SENDS)
+def test_sends(spark, text, seat, key):
+    row = spark.createDataFrame([(text,)], "t string").select(calls.target(F.col("t"), "post"), calls.message_key(F.col("t"), "post", True)).first()
+    assert tuple(row) == (seat, key)
+
+
 def test_element_kind(spark):
     nodes = ["function_item", "struct_expression", "constructor_declaration", "struct_specifier", "function_specifier", "atx_heading", "mod_item", "identifier", None]
     assert apply(spark, calls.element_kind, nodes) == ["function", None, "function", "container", None, "section", "container", None, None]
