@@ -62,7 +62,7 @@ class Encoder:
     apostrophes that of its runs of letters and of others; those are remembered. Runs of letters go
     straight to the library's model as byte letters, which is what its own first steps would make of
     them (tested on load too); all else goes through the whole library, and so do whole texts that
-    have any other character or one of the vocabulary's added tokens. Any other tokenizer gets whole texts.
+    have any other character or one of the vocabulary's added tokens, in whatever case. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -72,7 +72,7 @@ class Encoder:
         self._library = Tokenizer.from_file(path)
         self._model = self._library.model
         self._letters = _byte_letters()
-        self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        self._added = [t.content.lower() for t in self._library.get_added_tokens_decoder().values()]
         self._pieces = Memory()
         a, b, both = self._encode(["Onion,", "tree.", "onion, tree.\n"])
         self._by_word = a + b == both and [self._run(w.lower()) for w in _TRIED] == self._encode(list(_TRIED))
@@ -96,9 +96,10 @@ class Encoder:
 
     def _split(self, text: str) -> list[str] | None:
         """A text's pieces and, between some of them, nothing; None for a text that the library takes whole."""
-        if _OTHERS.search(text) or any(t in text for t in self._added):
+        low = text.lower()
+        if _OTHERS.search(text) or any(t in low for t in self._added):
             return None
-        low = text.lower().replace("\n", " ")
+        low = low.replace("\n", " ")
         if not _JOINED.search(low):  # a comma or full stop is a piece of its own
             return low.replace(",", " , ").replace(".", " . ").split(" ")
         return [p for w in low.split(" ") for p in ([w] if w.isalpha() or "'" in w else _PIECES.findall(w))]

@@ -306,6 +306,17 @@ def test_encoder_is_the_library_on_thousands_of_strings(library):
     assert [t for t in texts if got[t] != ids_of(library, t, 7).tobytes()] == []
 
 
+def test_words_glued_from_added_tokens(library):
+    draw = random.Random(12)
+    cases = (str.lower, str.upper, lambda t: t.replace("endof", "EndOf").replace("startof", "StartOf").replace("text", "Text"))
+    added = [f(t.content) for t in library.get_added_tokens_decoder().values() for f in cases]
+    parts = [*added, "'s", "'S", "'ll", "'ve", "n't", "it", "'", "|", "<|", "|>", ","]
+    texts = ["<|EndOfText|>'s", "it's <|StartOfText|>it's", *added]
+    texts += [" ".join("".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(draw.randint(1, 3))) for _ in range(5000)]
+    got = dict(tokens.encoded([(t, t) for t in texts], tokens.default_vocabulary(), 7))
+    assert [t for t in texts if got[t] != ids_of(library, t, 7).tobytes()] == []
+
+
 def test_token_files(spark, awkward, documents, library):
     start, want = 0, []
     for i, t in documents:
