@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from corvane.queries import analytics, conversations, enrichment, indexing, jobs, labels, lifecycle, messages, provenance, reconciling, relational, search, sources  # noqa: E402, F401
+from corvane.queries import analytics, conversations, enrichment, indexing, jobs, labels, lifecycle, messages, provenance, reconciling, relational, search, sources, structured  # noqa: E402, F401
