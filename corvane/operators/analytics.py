@@ -72,8 +72,8 @@ def daily_spine(first: Column, last: Column) -> Column:
     return F.explode(F.sequence(first, last))
 
 
-def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """One row: the modularity of a partition (node, community) of undirected weighted edges (a, b, w)."""
+def modularity(edges: DataFrame, members: DataFrame, digits: int | None = 6) -> DataFrame:
+    """One row: the modularity of a partition (node, community) of undirected weighted edges (a, b, w), to so many digits."""
     a, b = members.select(F.col("node").alias("a"), F.col("community").alias("ca")), members.select(F.col("node").alias("b"), F.col("community").alias("cb"))
     sides = edges.join(a, "a").join(b, "b")
     inside = sides.where("ca = cb").groupBy(F.col("ca").alias("c")).agg(F.sum("w").alias("inside"))
@@ -81,7 +81,7 @@ def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     total = edges.agg(F.sum("w").alias("m"))  # one row
     parts = degree.join(inside, "c", "left").crossJoin(F.broadcast(total))
     q = F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), F.lit(2))
-    return parts.agg(F.round(F.sum(q), 6).alias("modularity"))
+    return parts.agg((F.sum(q) if digits is None else F.round(F.sum(q), digits)).alias("modularity"))
 
 
 def propagate_labels(edges: DataFrame, kept: Callable[[DataFrame], DataFrame], free: int = 10) -> DataFrame:

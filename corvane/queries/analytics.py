@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.model import Tables, with_views
-from corvane.operators import analytics, vector
+from corvane.operators import analytics, graphs, vector
 from corvane.queries import query
 from corvane.queries.search import KNN_SQL, knn
 from corvane.scratch import kept
@@ -206,6 +206,26 @@ def communities(t: Tables) -> DataFrame:
     return analytics.propagate_labels(_edges(t).where("w > 0.2"), kept)
 
 
+# The labels are the earlier partition, less every seventh row, which counts as new.
+def _previous(t: Tables) -> DataFrame:
+    return t.embeddings.where("vec_id % 7 <> 0").select(F.col("vec_id").alias("node"), F.col("label").cast("long").alias("community"))
+
+
+@query()
+def continued_communities(t: Tables) -> DataFrame:
+    return graphs.continued(_edges(t).where("w > 0.2"), _previous(t), kept)
+
+
+@query()
+def community_choice(t: Tables) -> DataFrame:
+    return graphs.chosen(_edges(t).where("w > 0.2"), _previous(t), kept)[1]
+
+
+@query()
+def session_layout(t: Tables) -> DataFrame:
+    return graphs.layout(t.embeddings, "label", 64)
+
+
 @query(
     """WITH m AS (SELECT label, list(mean ORDER BY pos) AS c FROM (SELECT label, i AS pos, avg(CAST(embedding[i + 1] AS DOUBLE)) AS mean FROM embeddings, range(0, (SELECT max(len(embedding)) FROM embeddings)) r(i) GROUP BY label, i) GROUP BY label)
     SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 6) AS centrality FROM embeddings JOIN m USING (label)"""
