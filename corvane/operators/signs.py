@@ -59,10 +59,7 @@ def build(vectors: DataFrame, folder: str, snapshot: str, width: int, version: s
 
 def opened(spark: SparkSession, folder: str) -> DataFrame | None:
     """The copy that the folder's manifest names; none if nothing was published."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest.json")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return snapshots.current(spark, folder)[TABLE]
+    return snapshots.current(spark, folder).get(TABLE)
 
 
 def shortlist(copy: DataFrame, asked: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,24 +18,34 @@ def publish(tables: dict[str, DataFrame], folder: str, snapshot: str) -> str:
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.option("compression", "zstd").mode("errorifexists").parquet(f"{folder}/{snapshot}/{name}")
-    manifest = json.dumps({"snapshot": snapshot, "tables": sorted(tables)})
+    replace_text(spark, folder, "manifest.json", json.dumps({"snapshot": snapshot, "tables": sorted(tables)}))
+    return f"{folder}/{snapshot}"
+
+
+def replace_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Write a small file whole: it is written beside and takes the old one's place at once, so that no reader finds it half written."""
     jvm = spark._jvm
-    target, beside = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}") for name in ("manifest.json", f".manifest-{snapshot}.json"))
+    target, beside = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}") for n in (name, f".{name}.{uuid.uuid4().hex}"))
     conf = spark._jsc.hadoopConfiguration()
     out = target.getFileSystem(conf).create(beside, True)
-    out.write(bytearray(manifest.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
-    # the new manifest takes the old one's place at once, so that no reader finds it half written
     how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(beside, target, how)
-    return f"{folder}/{snapshot}"
+
+
+def read_text(spark: SparkSession, folder: str, name: str, parse: Callable[[str], object]) -> object | None:
+    """What ``parse`` makes of a small file; none where there is no such file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return parse(spark.read.text(f"{folder}/{name}", wholetext=True).first()[0])
 
 
 def current(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of the snapshot that the manifest names."""
-    manifest = spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0]
-    found = json.loads(manifest)
+    """The tables of the snapshot that the manifest names; none before the first was published."""
+    found = read_text(spark, folder, "manifest.json", json.loads) or {"tables": []}
     return {name: spark.read.parquet(f"{folder}/{found['snapshot']}/{name}") for name in found["tables"]}
 
 

@@ -19,6 +19,25 @@ def unseen(records: DataFrame, key: list[str], time: str, late: str = "1 day") -
     return records.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
+def record(stream: DataFrame, key: list[str], path: str, checkpoint: str) -> None:
+    """Write each record of a stream once, for good: the rows written before are the ledger, and a replay adds nothing however late it comes.
+
+    A batch is compared with the keys of all other batches, and a retried batch takes the place of what it wrote before.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        others = [f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName() != f"batch={number}"] if fs.exists(folder) else []
+        once = batch.dropDuplicates(key)
+        if others:
+            once = once.join(spark.read.schema(batch.schema).parquet(*others).select(*key), key, "left_anti")
+        once.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def bursts(events: DataFrame, key: str, time: str, quiet: str, late: str = "10 minutes") -> DataFrame:
     """Bursts of each key's events that a gap of ``quiet`` ends; the streaming twin of ``operators.queue.debounce``."""
     window = F.session_window(time, quiet)
