@@ -28,12 +28,22 @@ _NULL_ID = -(1 << 63)
 #: Edits that comparisons stop at, each a quarter more than the one before; more are counted out in full.
 _BOUNDS = tuple(round(8 * 1.25**i) for i in range(36))
 
+#: Edits that are tried before as many as are allowed.
+_FEW = 24
+
 _TEXT = {"compression": "zstd"}
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, blanks within a line as one space; ends of lines are trimmed after the split."""
-    return F.regexp_replace(F.lower(text), r" [ \t\x0B\f\r]+|[\t\x0B\f\r][ \t\x0B\f\r]*", " ")
+    """Lower case, blanks within a line as one space; ends of lines are trimmed after the split.
+
+    Most texts have no blanks to join: the regular expression is for the others.
+    """
+    low = F.lower(text)
+    odd = low.contains("  ")
+    for blank in "\t\x0b\f\r":
+        odd = odd | low.contains(blank)
+    return F.when(odd, F.regexp_replace(low, r" [ \t\x0B\f\r]+|[\t\x0B\f\r][ \t\x0B\f\r]*", " ")).otherwise(low)
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -88,28 +98,59 @@ def _masks(blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _shared(prints: DataFrame, blocks: int) -> DataFrame:
-    """key, line, bits, and the key's most frequent line with its bits, for keys that several lines have."""
+def _keyed(prints: DataFrame, blocks: int) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(blocks), F.lit(i), F.col("bits").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(blocks))])
-    keyed = prints.select(F.explode(keys).alias("key"), "line", "bits", "n")
-    first, whole = Window.partitionBy("key").orderBy(F.desc("n"), "line"), Window.partitionBy("key")
-    placed = keyed.select(
-        "key", "line", "bits", "n", F.first("line").over(first).alias("centre"), F.first("bits").over(first).alias("centre_bits"), F.count("*").over(whole).alias("held")
-    )
-    return placed.where("held > 1")  # most keys have one line
+    return prints.select(F.explode(keys).alias("key"), "line", "bits", "n")
+
+
+def _shared(prints: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of close lines that are alone in a key; and key, line, bits, held, and the most frequent line with its bits, of keys that more lines have.
+
+    Most keys have one line, and most others two: four numbers of a key tell them, the exclusive or of the bits being
+    their difference. Only rows of the few larger keys are gathered.
+    """
+    counted = stored(_keyed(prints, blocks).groupBy("key").agg(F.count("*").alias("held"), F.min("line").alias("a"), F.max("line").alias("b"), F.bit_xor("bits").alias("apart")).where("held > 1"))
+    two = counted.where((F.col("held") == 2) & (F.bit_count("apart") <= DISTANCE)).select("a", "b")
+    larger = _keyed(prints, blocks).join(counted.where("held > 2").select("key", "held"), "key")
+    first = Window.partitionBy("key").orderBy(F.desc("n"), "line")
+    return two, larger.select("key", "line", "bits", "n", "held", F.first("line").over(first).alias("centre"), F.first("bits").over(first).alias("centre_bits"))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many characters two texts begin with alike, up to 2047."""
+    alike = lambda at, n: F.substr(a, at + 1, n) == F.substr(b, at + 1, n)
+    within = lambda at, n: at + n <= F.least(F.char_length(a), F.char_length(b))
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in range(10, -1, -1)]), F.lit(0), lambda at, n: F.when(within(at, n) & alike(at, n), at + n).otherwise(at))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of lines whose edit similarity is high enough; edits beyond what it allows are not counted out."""
+    """Those of the pairs (a, b) of lines whose edit similarity is high enough; edits beyond what it allows are not counted out.
+
+    What two lines begin and end with alike takes no edits and is left out before they are counted.
+    """
     of = lambda c: texts.select(F.col("line").alias(c), F.col("norm").alias(f"n{c}"), F.char_length("norm").alias(f"l{c}"))
     allowed = F.floor((1 - similarity) * F.greatest("la", "lb") + 1e-9).cast("int")
-    # levenshtein takes a constant threshold only, so lengths that allow about the same number of edits go together
     joined = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("allowed", allowed)
     joined = joined.where(F.abs(F.col("la") - F.col("lb")) <= F.col("allowed"))
-    edits = F.levenshtein("na", "nb")
-    for bound in reversed(_BOUNDS):
-        edits = F.when(F.col("allowed") <= bound, F.levenshtein("na", "nb", bound)).otherwise(edits)
-    return stored(joined.withColumn("edits", edits).where((F.col("edits") >= 0) & (F.col("edits") <= F.col("allowed"))).select("a", "b"))
+
+    def beyond(x: Column) -> Column:
+        """Both texts, each backwards, without their common beginning."""
+        at = _common(x["a"], x["b"]) + 1
+        return F.struct(F.reverse(F.substr(x["a"], at)).alias("a"), F.reverse(F.substr(x["b"], at)).alias("b"), x["allowed"].alias("allowed"))
+
+    def edits(x: Column) -> Column:
+        """Few edits are tried first. levenshtein takes a constant threshold only, so allowed edits that are about as many go together."""
+        found = F.levenshtein(x["a"], x["b"])
+        for bound in reversed(_BOUNDS):
+            found = F.when(x["allowed"] <= bound, F.levenshtein(x["a"], x["b"], bound)).otherwise(found)
+        return F.coalesce(F.nullif(F.levenshtein(x["a"], x["b"], _FEW), F.lit(-1)), found)
+
+    # a lambda's argument is worked out once, however often it is used
+    counted = F.array(F.struct(F.col("na").alias("a"), F.col("nb").alias("b"), "allowed"))
+    for step in (beyond, beyond, edits):
+        counted = F.transform(counted, step)
+    within = F.transform(counted, lambda n: n.between(0, F.col("allowed")))[0]
+    return stored(joined.where(within).select("a", "b"))
 
 
 def _near(x: str, y: str) -> Column:
@@ -134,14 +175,17 @@ def line_links(prints: DataFrame, lines: DataFrame, similarity: float = SIMILARI
     comparison, so only lines of different components are compared with all lines of the key. Texts are
     fetched once, for the lines that share a key with another.
     """
-    coarse = stored(_shared(prints, BLOCKS))
+    two, coarse = _shared(prints, BLOCKS)
+    coarse = stored(coarse)
     crowded = coarse.where(F.col("held") > MANY).select("line").distinct()
-    fine = _shared(prints.join(crowded, "line", "left_semi"), FINE_BLOCKS)
+    fine_two, fine = _shared(stored(prints.join(crowded, "line", "left_semi")), FINE_BLOCKS)
     shared = stored(coarse.where(F.col("held") <= MANY).unionByName(fine))
     discard(coarse)
-    texts = stored(lines.join(shared.select("line").distinct(), "line", "left_semi").select("line", "norm"), **_TEXT)
     ordered = lambda rows: rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = stored(ordered(shared.where("line <> centre").where(_near("bits", "centre_bits")).select(F.col("line").alias("a"), F.col("centre").alias("b"))))
+    around = shared.where("line <> centre").where(_near("bits", "centre_bits")).select(F.col("line").alias("a"), F.col("centre").alias("b"))
+    tried = stored(ordered(around.unionAll(two).unionAll(fine_two)))
+    held = shared.select("line").unionAll(tried.select(F.explode(F.array("a", "b")))).distinct()
+    texts = stored(lines.join(held, "line", "left_semi").select("line", "norm"), **_TEXT)
     links = _verified(tried, texts, similarity)
     rows = _in_groups(shared.drop("centre", "centre_bits"), links)
     for turn in range(TURNS):
@@ -203,9 +247,16 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     )
     joined = rows.join(removed, ["doc", "key"], "left")
     lines = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
+
+    def without(x: Column) -> Column:
+        """The lines between removed ones, so that each is looked at once."""
+        starts = F.concat(F.array(F.lit(0)), F.transform(x["gone"], lambda r: r + 1))
+        ends = F.concat(x["gone"], F.array(F.size(x["lines"])))
+        return F.array_join(F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(x["lines"], s + 1, e - s))), "\n")
+
     n_removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
     filled = F.size(F.filter(lines, lambda x: x.rlike(r"\S"))).cast("long")
-    kept = F.when(F.col("removed").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n"))
+    kept = F.when(F.col("removed").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.transform(F.array(F.struct(lines.alias("lines"), F.array_sort("removed").alias("gone"))), without)[0])
     return joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), n_removed.alias("n_removed"), (filled - n_removed).alias("n_groups"), kept.alias("kept_text"))
 
 

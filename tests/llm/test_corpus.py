@@ -559,3 +559,36 @@ def test_pipeline(spark, documents, library):
     pieces = corpus_pipeline.run(spark, FOLDER).collect()
     assert {p.doc_id for p in pieces} == set(left)
     check_packed(pieces, left.items(), library)
+
+
+def test_edits_beyond_common_ends(spark):
+    """Trimming what two lines begin and end with alike changes no verdict."""
+    draw = random.Random(21)
+    words = ["alpha", "beta", "gamma", "été", "中文", "x"]
+    texts = ["", "a", "aa", "b"] + [" ".join(draw.choices(words, k=draw.randint(1, 30))) for _ in range(40)]
+    for t in list(texts[4:]):
+        cut = t.split(" ")
+        cut[draw.randrange(len(cut))] = draw.choice(["delta", "alph", ""])
+        texts += [" ".join(cut), t + " tail", t[1:], t + t]
+    rows = spark.createDataFrame(list(enumerate(texts)), "line long, norm string")
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    got = {tuple(r) for r in lines._verified(spark.createDataFrame(pairs, "a long, b long"), rows, 0.8).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    near = lambda a, b: abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) + 1e-9
+    want = {(i, j) for i, j in pairs if near(texts[i], texts[j]) and distance(texts[i], texts[j]) <= int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)}
+    assert got == want
+
+
+def test_one_document_of_many_equal_lines(spark):
+    docs = spark.createDataFrame([(1, "same line here\n" * 100_000)], "doc_id long, text string")
+    began = time.time()
+    row = lines.dedup_lines(docs).first()
+    assert (row.n_lines, row.n_removed, row.kept_text.strip()) == (100_001, 99_999, "same line here") and time.time() - began < 120
