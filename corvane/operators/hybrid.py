@@ -25,6 +25,12 @@ def damped(score: Column, kind: Column, source: Column, text: Column, query: str
     return F.when(restates & F.lit(bool(asked)), F.least(score, F.lit(RESTATED_CEILING))).otherwise(score)
 
 
+def fuse_hits(lexical: DataFrame, semantic: DataFrame, key: list[str]) -> DataFrame:
+    """As :func:`fuse`, for hits that several columns name together, such as address, worktree, path and span; nulls are alike."""
+    packed = lambda leg: leg.select(F.struct(*key).alias("hit"), "score", "rank")
+    return fuse(packed(lexical), packed(semantic), "hit").select("hit.*", "channel", "score", "rank")
+
+
 def fuse(lexical: DataFrame, semantic: DataFrame, key: str = "id") -> DataFrame:
     """Both legs' hits in one ranking: key, channel, score and rank.
 
@@ -56,6 +62,27 @@ def balance(ranked: DataFrame, source: str, cap: int, exempt: float = 1.0) -> Da
     return rows.withColumn("rank", F.row_number().over(Window.orderBy("moved", "rank"))).drop("__n", "__s")
 
 
+def balance_hits(ranked: DataFrame, conversation: str, file: str, page_end: int, across: bool = True) -> DataFrame:
+    """Re-ranks (score, rank) so that a conversation holds ``CONVERSATION_CAP`` hits and a file ``FILE_CAP`` before the others' are through.
+
+    A hit has either a conversation or a file. Conversations move only if there are several and the search is ``across`` them,
+    files only if there are several; a score of 1 never moves, and counts. Nothing is dropped. Adds moved and moved_down: on each source's
+    first hit, how many of its hits moved from within the first ``page_end``.
+    """
+    talk = F.col(conversation).isNotNull()
+    source = F.struct(talk.alias("talk"), F.coalesce(F.col(conversation).cast("string"), F.col(file).cast("string")).alias("name"))
+    rows = ranked.withColumn("__s", source)
+    whole, mine = Window.partitionBy(F.lit(1)), Window.partitionBy("__s")  # a ranking is bounded by its request
+    talks, files = (F.size(F.collect_set(F.when(c, F.col("__s"))).over(whole)) for c in (talk, ~talk))
+    moves = F.when(talk, F.lit(across) & (F.col("__talks") > 1)).otherwise(F.col("__files") > 1)
+    cap = F.when(talk, CONVERSATION_CAP).otherwise(FILE_CAP)
+    rows = rows.withColumns({"__n": F.row_number().over(mine.orderBy("rank")), "__talks": talks, "__files": files})
+    rows = rows.withColumn("moved", (F.col("__n") > cap) & (F.col("score") < 1.0) & moves)
+    left = F.count_if(F.col("moved") & (F.col("rank") <= page_end)).over(mine)
+    rows = rows.withColumn("moved_down", F.when((F.col("__n") == 1) & (left > 0), left))
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy("moved", "rank"))).drop("__s", "__n", "__talks", "__files")
+
+
 def page(ranked: DataFrame, offset: int, limit: int) -> DataFrame:
     """The rows ranked offset + 1 to offset + limit, each with whether there are more and where they go on."""
     rows = ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit + 1))

@@ -110,29 +110,3 @@ def embed(column: str) -> Column:
         return pd.Series(out)
 
     return vectors(F.col(column))
-
-
-def batches(items: DataFrame, group: list[str], size: str, cap: int) -> DataFrame:
-    """Adds batch: consecutive items of a group, in order of id, whose sizes stay within ``cap`` together.
-
-    A batch closes before the item that would exceed the cap, so where one starts depends on all
-    before it. A group is first cut into runs of about a thousand caps by its running sum, and each
-    run is folded by itself; a batch may close early at the end of a run.
-    """
-    order = Window.partitionBy(*group).orderBy("id")
-    run = F.floor(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) / (1000 * cap))
-    kept = [*group, "id", size]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        total, number, numbers = 0, 0, []
-        for n in rows[size]:
-            if total and total + n > cap:
-                total, number = 0, number + 1
-            total += n
-            numbers.append(number)
-        return rows[kept].assign(batch=rows["run"].astype("int64") * 1_000_000 + numbers)
-
-    kinds = dict(items.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in kept), "batch long"])
-    return items.select(*kept, run.alias("run")).groupBy(*group, "run").applyInPandas(fold, schema)

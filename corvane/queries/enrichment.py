@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.model import Tables, with_views
-from corvane.operators import gates, lexical, parsing
+from corvane.operators import gates, lexical, parsing, upkeep
 from corvane.queries import query
 from corvane.queries.search import _scored_sql
 
@@ -57,10 +57,15 @@ def embedded_chunks(t: Tables) -> DataFrame:
     return cut.where(F.trim("chunk") != "").select("doc_id", "chunk_no", parsing.embed("chunk").alias("embedding"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id AS id, source, CAST(ceil(strlen(text) / 3.0) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+    w(id, source, tokens, n, held, batch) AS (SELECT id, source, tokens, n, tokens, 0 FROM d WHERE n = 1
+        UNION ALL SELECT d.id, d.source, d.tokens, d.n, CASE WHEN held + d.tokens > 20000 THEN d.tokens ELSE held + d.tokens END, CASE WHEN held + d.tokens > 20000 THEN batch + 1 ELSE batch END FROM w JOIN d ON d.source = w.source AND d.n = w.n + 1)
+    SELECT source, id, tokens, batch FROM w"""
+)
 def token_batches(t: Tables) -> DataFrame:
     sized = t.documents.select(F.col("doc_id").alias("id"), "source", text.token_estimate(F.col("text")).alias("tokens"))
-    return parsing.batches(sized, ["source"], "tokens", 20000)
+    return upkeep.batches(sized, "source", "tokens", 20000).select("source", "id", "tokens", "batch")
 
 
 _ROWS = """r AS (SELECT event_id AS id, user_id AS grp, event_type AS state, CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 END AS derived, CASE WHEN event_id % 5 > 0 THEN event_id % 4 = 0 END AS gate FROM events)"""
