@@ -115,9 +115,14 @@ def _filled(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _after(text: Column, mark: str) -> Column:
     """What follows the first ``mark``, or null."""
-    return F.when(F.contains(text, F.lit(mark)), F.substr(text, F.locate(mark, text) + len(mark)))
+    return _once(text, lambda t: F.when(F.contains(t, F.lit(mark)), F.substr(t, F.locate(mark, t) + len(mark))))
 
 
 def _words(text: Column) -> Column:
@@ -130,9 +135,13 @@ def _words(text: Column) -> Column:
 
 def _from(words: Column, fits) -> Column:
     """The words from the first one on that ``fits`` (word, the one before it, which is empty for the first)."""
-    flags = F.transform(words, lambda w, i: fits(w, F.when(i > 0, F.get(words, i - 1)).otherwise("")))
-    at = F.array_position(flags, True)
-    return F.when(at > 0, F.slice(words, at.cast("int"), F.size(words))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def rest(ws: Column) -> Column:
+        flags = F.transform(ws, lambda w, i: fits(w, F.when(i > 0, F.get(ws, i - 1)).otherwise("")))
+        return _once(F.array_position(flags, True).cast("int"), lambda at: F.when(at > 0, F.slice(ws, at, F.size(ws))).otherwise(none))
+
+    return _once(words, rest)
 
 
 def _is_option(word: Column) -> Column:
@@ -142,20 +151,20 @@ def _is_option(word: Column) -> Column:
 def _value(text: Column, key: str) -> Column:
     """The JSON string of ``key``, still escaped and with all that follows it, or null; keys and quotes may be escaped themselves."""
     tail = F.ltrim(_after(F.replace(text, F.lit('\\"'), F.lit('"')), f'"{key}"'))
-    opened = F.ltrim(F.substr(tail, F.lit(2)))
-    return F.when(tail.startswith(":") & opened.startswith('"'), F.substr(opened, F.lit(2)))
+    opened = _once(tail, lambda t: F.when(t.startswith(":"), F.ltrim(F.substr(t, F.lit(2)))))
+    return _once(opened, lambda o: F.when(o.startswith('"'), F.substr(o, F.lit(2))))
 
 
 def sender(body: Column, tool: str) -> Column:
     """The seat in a delivered message's envelope ``[<tool> from <seat>]``."""
-    seat = F.substring_index(_after(body, f"[{tool} from "), "]", 1)
-    return F.when(seat.rlike(rf"^{SEAT}(@[A-Za-z0-9.-]+)?$") & F.contains(_after(body, f"[{tool} from "), F.lit("]")), seat)
+    inside = _once(_after(body, f"[{tool} from "), lambda t: F.when(F.contains(t, F.lit("]")), F.substring_index(t, "]", 1)))
+    return _once(inside, lambda seat: F.when(seat.rlike(rf"^{SEAT}(@[A-Za-z0-9.-]+)?$"), seat))
 
 
 def _sent(text: Column, tool: str) -> Column:
     """The words of a send on a command line from its seat on: options between the call and the seat are left out."""
-    tail = _after(text, f"{tool} send")
-    return _from(_words(F.when(tail.rlike(r"^[\s\\]"), tail)), lambda w, _: ~_is_option(w))
+    tail = _once(_after(text, f"{tool} send"), lambda t: F.when(t.rlike(r"^[\s\\]"), t))
+    return _from(_words(tail), lambda w, _: ~_is_option(w))
 
 
 def _is_call(text: Column, tool: str) -> Column:
@@ -165,7 +174,7 @@ def _is_call(text: Column, tool: str) -> Column:
 def target(text: Column, tool: str) -> Column:
     """The seat that a send call names: its JSON key ``to``, else the first word after the options of ``<tool> send``."""
     named = F.when(_is_call(text, tool), F.regexp_extract(_value(text, "to"), f"^{SEAT}", 0))
-    return F.coalesce(_filled(named), _filled(F.regexp_extract(F.get(_sent(text, tool), F.lit(0)), f"^{SEAT}", 0)))
+    return F.coalesce(_once(named, _filled), _once(F.regexp_extract(F.get(_sent(text, tool), F.lit(0)), f"^{SEAT}", 0), _filled))
 
 
 def _says(word: Column, before: Column) -> Column:
@@ -178,12 +187,12 @@ def message_key(text: Column, tool: str, sent: bool) -> Column:
     """The first 40 letters and digits of a message's body, in lower case: equal for a delivered message and the call that
     sent it, whatever the quoting. Null without a body of at least 12."""
     if sent:
-        line = _sent(text, tool)
-        body = F.coalesce(F.when(_is_call(text, tool), _words(_value(text, "message"))), _from(F.slice(line, 2, F.greatest(F.size(line), F.lit(1))), _says))
+        line = _once(_sent(text, tool), lambda ws: F.slice(ws, F.lit(2), F.greatest(F.size(ws), F.lit(1))))
+        body = F.coalesce(F.when(_is_call(text, tool), _words(_value(text, "message"))), _from(line, _says))
     else:
         body = _words(_after(_after(text, f"[{tool} from "), "]"))
     key = F.left(F.regexp_replace(F.lower(F.array_join(body, "")), "[^a-z0-9]+", ""), F.lit(KEY_CHARS))
-    return F.when(F.length(key) >= LEAST_KEY_CHARS, key)
+    return _once(key, lambda k: F.when(F.length(k) >= LEAST_KEY_CHARS, k))
 
 
 # What a grammar's node names hold if they stand for a callable, container or section, and how declarations end.

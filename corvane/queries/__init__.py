@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from corvane.queries import admission, analytics, conversations, enrichment, indexed, indexing, jobs, labels, lifecycle, messages, provenance, reconciling, relational, search, sources, structured, upkeep  # noqa: E402, F401
+from corvane.queries import admission, analytics, conversations, enrichment, indexed, indexing, jobs, labels, lifecycle, messages, provenance, reconciling, relational, said, search, sources, structured, upkeep  # noqa: E402, F401
