@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane import scratch
+
 
 def missing(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """One row of ``wanted`` for each key that ``done`` lacks: the one with the smallest id."""
@@ -46,16 +50,17 @@ def collect_garbage(jobs: DataFrame, elements: DataFrame, summaries: DataFrame,
     by a living element's text, a vector by either, a job by a living element.
     """
     kept_elements = elements.join(live.select(F.col("blob_sha")).distinct(), "blob_sha", "left_semi")
-    texts = kept_elements.select("raw_hash").distinct()
+    texts = scratch.kept(kept_elements.select("raw_hash").distinct())
     kept_summaries = summaries.join(texts, "raw_hash", "left_semi")
-    sources = texts.select(F.col("raw_hash").alias("source_hash")).union(kept_summaries.select("text_hash")).distinct()
-    kept_vectors = vectors.join(sources, "source_hash", "left_semi")
-    kept_jobs = jobs.join(texts, "raw_hash", "left_semi")
-    levels = [("jobs", jobs, kept_jobs), ("elements", elements, kept_elements), ("summaries", summaries, kept_summaries), ("vectors", vectors, kept_vectors)]
-    out = None
-    for name, every, kept in levels:
-        row = every.agg(F.count("*").alias("total")).crossJoin(kept.agg(F.count("*").alias("kept"))).select(F.lit(name).alias("level"), "total", "kept")  # one row each
-        out = row if out is None else out.unionAll(row)
+    sources = scratch.kept(texts.select(F.col("raw_hash").alias("source_hash")).union(kept_summaries.select("text_hash")).distinct())
+
+    def judged(level: str, rows: DataFrame, key: str, by: DataFrame) -> DataFrame:
+        return rows.select(key).join(by.select(key, F.lit(1).alias("kept")), key, "left").select(F.lit(level).alias("level"), "kept")
+
+    levels = [judged("jobs", jobs, "raw_hash", texts), judged("elements", elements, "blob_sha", live.select("blob_sha").distinct()), judged("summaries", summaries, "raw_hash", texts), judged("vectors", vectors, "source_hash", sources)]
+    counted = reduce(DataFrame.unionAll, levels).groupBy("level").agg(F.count("*").alias("total"), F.count("kept").alias("kept"))
+    every = jobs.sparkSession.createDataFrame([(n,) for n in ("jobs", "elements", "summaries", "vectors")], "level string")  # a level without rows is one too
+    out = every.join(counted, "level", "left").fillna(0, ["total", "kept"])
     return out.withColumn("freed", F.col("total") - F.col("kept"))
 
 

@@ -1,9 +1,7 @@
-"""Elements from text: markdown sections, Python declarations, tokens and embeddings."""
+"""Elements from text: markdown sections, tokens and embeddings."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,34 +35,6 @@ def sections(docs: DataFrame, key: str, markdown: Column) -> DataFrame:
     return rows.select(key, (F.col("at") + 1).alias("start"), F.coalesce(end, F.col("__last") + 1).alias("stop"), "level", title.alias("title"))
 
 
-def declarations(files: DataFrame, key: str, source: str) -> DataFrame:
-    """key, kind, address, start and stop of the classes and functions of Python files; a file that does not parse has none."""
-    import ast
-
-    def walk(node: ast.AST, path: tuple[str, ...]) -> Iterator[tuple[str, str, int, int]]:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-                here = (*path, child.name)
-                first = min([child.lineno, *(d.lineno for d in child.decorator_list)])
-                yield ("container" if isinstance(child, ast.ClassDef) else "function", "::".join(here), first, child.end_lineno)
-                yield from walk(child, here)
-            else:
-                yield from walk(child, path)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, text in zip(b[key], b[source], strict=True):
-                try:
-                    tree = ast.parse(text or "")
-                except (SyntaxError, ValueError):
-                    continue
-                rows += [(k, *r) for r in walk(tree, ())]
-            yield pd.DataFrame(rows, columns=[key, "kind", "address", "start", "stop"])
-
-    return files.select(key, source).mapInPandas(parse, f"{key} {dict(files.dtypes)[key]}, kind string, address string, start int, stop int")
-
-
 def postings(elements: DataFrame) -> DataFrame:
     """token and id, once each: the inverted index that prunes a lexical search."""
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", "name", "raw_text")), F.lit("[a-z0-9_]+"), F.lit(0)))

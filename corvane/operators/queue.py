@@ -30,10 +30,9 @@ def claim(jobs: DataFrame, kind: str, now: int, limit: int) -> DataFrame:
 
 def complete(jobs: DataFrame) -> DataFrame:
     """Adds superseded_by to failures of a key that was done later: the id of the first such job."""
-    done = jobs.where(F.col("state") == "done").select(F.col("dedupe_key").alias("__k"), F.col("id").alias("__id"))
-    failed = jobs.where(F.col("state") == "failed")
-    later = failed.join(done, (F.col("dedupe_key") == F.col("__k")) & (F.col("__id") > F.col("id")), "left")
-    return later.groupBy("id", "dedupe_key").agg(F.min("__id").alias("superseded_by"))
+    after = Window.partitionBy("dedupe_key").orderBy("id").rowsBetween(1, Window.unboundedFollowing)
+    following = F.first(F.when(F.col("state") == "done", F.col("id")), ignorenulls=True).over(after)
+    return jobs.select("id", "dedupe_key", "state", following.alias("superseded_by")).where("state = 'failed'").drop("state")
 
 
 def verdict(rate_limited: Column, retryable: Column) -> Column:

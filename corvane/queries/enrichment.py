@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane import scratch
 from corvane.functions import text
 from corvane.model import Tables, with_views
 from corvane.operators import gates, lexical, parsing, upkeep
@@ -27,12 +28,6 @@ def markdown_sections(t: Tables) -> DataFrame:
     return parsing.sections(t.documents, "doc_id", F.array_join(F.transform(F.split("text", "\n"), headed), "\n"))
 
 
-@query()
-def python_declarations(t: Tables) -> DataFrame:
-    made = F.concat(F.lit("class C"), "doc_id", F.lit(":\n    def m(self):\n        return "), "n_chars", F.lit("\n\ndef f"), "doc_id", F.lit("(): pass\n"))
-    return parsing.declarations(t.documents.select("doc_id", made.alias("source_text")), "doc_id", "source_text")
-
-
 @query("SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(concat_ws(chr(10), 'doc_' || doc_id, text)), '[a-z0-9_]+')) AS token FROM documents) GROUP BY token")
 def token_postings(t: Tables) -> DataFrame:
     return parsing.postings(t.elements.where("kind = 'file'")).groupBy("token").agg(F.count("*").alias("df"))
@@ -47,7 +42,8 @@ def token_postings(t: Tables) -> DataFrame:
     )
 )
 def lexical_indexed(t: Tables) -> DataFrame:
-    ids = parsing.candidates(parsing.stored_index(t.elements), lexical.query_terms("the and with"))
+    index = scratch.once(t.spark, f"tokens of {t.folder}", lambda: parsing.stored_index(t.elements))
+    ids = parsing.candidates(index, lexical.query_terms("the and with"))
     return lexical.scored(t.elements.join(ids, "id", "left_semi"), "the and with").select("id", "score")
 
 
@@ -147,13 +143,13 @@ def stop_rules(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_id % 10 < 3), x AS (SELECT user_id, arg_max(event_type <> 'error', event_id) AS held FROM events WHERE event_id % 10 >= 7 GROUP BY 1)
+    """WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_id % 10 < 5), x AS (SELECT user_id, arg_max(event_type <> 'error', event_id) AS held FROM events WHERE event_id % 10 >= 5 GROUP BY 1)
     SELECT user_id FROM c WHERE user_id NOT IN (SELECT user_id FROM x WHERE NOT held) UNION SELECT user_id FROM x WHERE held"""
 )
 def scope_cache_delta(t: Tables) -> DataFrame:
     e = t.events
-    changes = e.where("event_id % 10 >= 7").select("user_id", (F.col("event_type") != "error").alias("held"), F.col("event_id").alias("version"))
-    return gates.cached_scope(e.where("event_id % 10 < 3").select("user_id").distinct(), changes, "user_id")
+    changes = e.where("event_id % 10 >= 5").select("user_id", (F.col("event_type") != "error").alias("held"), F.col("event_id").alias("version"))
+    return gates.cached_scope(e.where("event_id % 10 < 5").select("user_id").distinct(), changes, "user_id")
 
 
 @query(
@@ -185,8 +181,12 @@ def tag_normalise(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.canonical_tag(tag).alias("tag"))
 
 
-@query("SELECT doc_id, strlen(text) > 512 AS truncated, strlen(text) AS total_bytes, CASE WHEN strlen(text) <= 512 THEN sha256(text) ELSE 'cut' END AS whole FROM documents")
+@query(
+    """WITH h AS (SELECT doc_id, text, strlen(text) AS n, hex(encode(text)) AS h FROM documents),
+    c AS (SELECT *, CASE WHEN substr(h, 1025, 1) NOT IN ('8', '9', 'A', 'B') THEN 512 WHEN substr(h, 1023, 1) NOT IN ('8', '9', 'A', 'B') THEN 511 WHEN substr(h, 1021, 1) NOT IN ('8', '9', 'A', 'B') THEN 510 ELSE 509 END AS at FROM h)
+    SELECT doc_id, n > 512 AS truncated, n AS total_bytes, sha256(CASE WHEN n <= 512 THEN text ELSE decode(unhex(substr(h, 1, 2 * c.at))) END) AS whole FROM c"""
+)
 def tool_output_heads(t: Tables) -> DataFrame:
     h = text.head(F.col("text"))
     rows = t.documents.select("doc_id", h.alias("h"))
-    return rows.select("doc_id", "h.truncated", F.col("h.total_bytes").cast("long").alias("total_bytes"), F.when(F.col("h.truncated"), "cut").otherwise(F.sha2("h.head", 256)).alias("whole"))
+    return rows.select("doc_id", "h.truncated", F.col("h.total_bytes").cast("long").alias("total_bytes"), F.sha2("h.head", 256).alias("whole"))

@@ -12,19 +12,16 @@ from corvane.operators.lexical import SearchFilters
 from corvane.queries import query
 from corvane.queries.search import _best_sql, _page_sql, _scored_sql
 
-#: Indexes by the folder of tables they were built from: built once in a session and opened by every query after.
-_BUILT: dict[tuple[str, str], str] = {}
-
 BM25_QUERY, BM25_LIMIT = "where is the public license and of", 20
 
 
 def _bm25(t: Tables) -> bm25.Index:
-    key = ("bm25", f"{t.spark.sparkContext.applicationId} {t.folder}")
-    if key not in _BUILT:
+    def build() -> str:
         folder = scratch.folder(t.spark)
         bm25.build(t.elements, folder)
-        _BUILT[key] = folder
-    return bm25.open_index(t.spark, _BUILT[key])
+        return folder
+
+    return bm25.open_index(t.spark, scratch.once(t.spark, f"bm25 of {t.folder}", build))
 
 
 _POSTINGS_SQL = """said AS (SELECT id, 'body' AS field, regexp_extract_all(lower(coalesce(raw_text, '')), '[a-z0-9_]+') AS tokens FROM elements
@@ -76,11 +73,12 @@ WIDTH = 64
 
 
 def _signs(t: Tables) -> DataFrame:
-    key = ("signs", f"{t.spark.sparkContext.applicationId} {t.folder}")
-    if key not in _BUILT:
-        _BUILT[key] = scratch.folder(t.spark)
-        signs.build(t.embeddings, _BUILT[key], "first", WIDTH, "v1")
-    return signs.opened(t.spark, _BUILT[key])
+    def build() -> str:
+        folder = scratch.folder(t.spark)
+        signs.build(t.embeddings, folder, "first", WIDTH, "v1")
+        return folder
+
+    return signs.opened(t.spark, scratch.once(t.spark, f"signs of {t.folder}", build))
 
 
 def _worn(t: Tables) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane import scratch
 from corvane.functions import text
 from corvane.model import Tables, with_views
 from corvane.operators import maintenance
@@ -64,7 +65,7 @@ def tree_inconsistencies(t: Tables) -> DataFrame:
     SELECT *, total - kept AS freed FROM l"""
 )
 def gc_levels(t: Tables) -> DataFrame:
-    docs = t.documents.withColumns({"h": F.sha2("text", 256), "u": F.sha2(F.upper("text"), 256)})
+    docs = scratch.kept(t.documents.select("doc_id", F.sha2("text", 256).alias("h"), F.sha2(F.upper("text"), 256).alias("u")))  # texts are hashed once
     vectors = docs.where("doc_id % 5 < 2").select(F.col("h").alias("source_hash")).union(docs.where("doc_id % 4 = 0").select("u"))
     return maintenance.collect_garbage(
         docs.where("doc_id % 7 = 0").select(F.col("h").alias("raw_hash")),
@@ -143,11 +144,10 @@ def skip_counts(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT page_id, unnest(string_split(html, '<h')) AS part FROM pages)
-    SELECT page_id, count(*) - 1 AS headings FROM l GROUP BY page_id"""
+    "SELECT page_id, len(regexp_extract_all(html, '<[hH][1-6][ >]')) AS headings FROM pages"
 )
 def page_headings(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", (F.size(F.split("html", "<h")) - 1).cast("long").alias("headings"))
+    return t.pages.select("page_id", F.regexp_count("html", F.lit("<[hH][1-6][ >]")).cast("long").alias("headings"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,14 @@ def kept(df: DataFrame) -> DataFrame:
     path, schema = folder(df.sparkSession), df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+_ONCE: dict[tuple[str, str], object] = {}
+
+
+def once(spark: SparkSession, name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gave the first time it was asked for under this name in the application: indexes are built once and then opened."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _ONCE:
+        _ONCE[key] = make()
+    return _ONCE[key]
