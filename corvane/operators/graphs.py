@@ -14,6 +14,8 @@ Keep = Callable[[DataFrame], DataFrame]
 #: Gain in modularity from which a fresh partition takes the place of the continued one.
 LEAST_GAIN = 0.02
 _TINY = 1e-12
+#: The smallest part of the moves that is tried at once is one in so many.
+_PARTS = 128
 
 
 def _ways(edges: DataFrame) -> DataFrame:
@@ -56,25 +58,25 @@ def apart(moves: DataFrame) -> DataFrame:
 def improved(edges: DataFrame, members: DataFrame, keep: Keep) -> DataFrame:
     """The partition (node, community) after moves of single nodes until none raises modularity.
 
-    A round first tries the moves of a half of the nodes, drawn by a hash, at once. If modularity does not
-    rise by them, only moves that do not touch each other are made; so it never falls, and the rounds end.
+    A round tries the moves of a part of the nodes at once, drawn by a hash, and smaller parts while modularity
+    does not rise by them; last, only moves that do not touch each other are made. So it never falls, and the rounds end.
     """
     members = keep(members)
-    quality = _quality(edges, members)
-    turn = 0
+    quality, turn, parts = _quality(edges, members), 0, 2
     while True:
         moves = keep(gains(edges, members))
         if moves.isEmpty():
             return members
-        drawn = moves.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
-        after = keep(_moved(members, drawn))
-        risen = _quality(edges, after)
-        if risen <= quality + _TINY:
-            after = keep(_moved(members, apart(moves)))
+        while True:
+            drawn = moves.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(parts)) == 0) if parts <= _PARTS else apart(moves)
+            after = keep(_moved(members, drawn))
             risen = _quality(edges, after)
-            if risen <= quality:  # gains below the precision of sums
-                return members
-        members, quality, turn = after, risen, turn + 1
+            if risen > quality + _TINY or parts > _PARTS:
+                break
+            parts *= 4
+        if risen <= quality:  # gains below the precision of sums
+            return members
+        members, quality, turn, parts = after, risen, turn + 1, max(1, min(parts, _PARTS) // 2)
 
 
 def _moved(members: DataFrame, moves: DataFrame) -> DataFrame:

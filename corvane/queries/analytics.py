@@ -216,11 +216,6 @@ def continued_communities(t: Tables) -> DataFrame:
     return graphs.continued(_edges(t).where("w > 0.2"), _previous(t), kept)
 
 
-@query()
-def community_choice(t: Tables) -> DataFrame:
-    return graphs.chosen(_edges(t).where("w > 0.2"), _previous(t), kept)[1]
-
-
 @query()
 def session_layout(t: Tables) -> DataFrame:
     return graphs.layout(t.embeddings, "label", 64)
