@@ -63,8 +63,8 @@ def within_interval(points: DataFrame, spans: DataFrame, by: str, at: str) -> Da
 def bracketed(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     """Fills a gap in ``value`` where the last value before and the next after it agree."""
     back = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    before, after = F.last(value, ignorenulls=True).over(back), F.first(value, ignorenulls=True).over(ahead)
+    ahead = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)  # a frame that reaches to the end is read anew for each row
+    before, after = F.last(value, ignorenulls=True).over(back), F.last(value, ignorenulls=True).over(ahead)
     return rows.withColumns({"__b": before, "__a": after}).withColumn("filled", F.when(F.col("__b") == F.col("__a"), F.col("__b"))).drop("__b", "__a")
 
 

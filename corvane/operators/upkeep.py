@@ -102,9 +102,9 @@ def batches(items: DataFrame, group: str, size: str, cap: int) -> DataFrame:
     # an item's reach lies among the running sums: the first sum beyond it is where the next batch starts
     none = F.lit(None).cast("int")
     marks = sums.select(group, F.col("__upto").alias("__at"), F.col("__n").alias("__to"), none.alias("__from")).unionAll(sums.select(group, "__reach", none, "__n"))
-    # where both are equal the sum comes first, so that it is within reach
-    ahead = Window.partitionBy(group).orderBy("__at", F.col("__from").isNotNull(), F.coalesce("__to", "__from")).rowsBetween(1, Window.unboundedFollowing)
-    found = marks.withColumn("__next", F.first("__to", ignorenulls=True).over(ahead)).where("__from IS NOT NULL AND __next IS NOT NULL")
+    # where both are equal the sum comes first, so that it is within reach; from the end on, as a frame that reaches to the end is read anew for each row
+    ahead = Window.partitionBy(group).orderBy(F.desc("__at"), F.col("__from").isNotNull().desc(), F.coalesce("__to", "__from").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = marks.withColumn("__next", F.last("__to", ignorenulls=True).over(ahead)).where("__from IS NOT NULL AND __next IS NOT NULL")
     # an item beyond the cap by itself would point before its own end
     jumps = scratch.kept(found.select(group, "__from", F.greatest(F.col("__next"), F.col("__from") + 1).alias("__next")))
     starts = scratch.kept(sums.where("__n = 1").select(group, F.col("__n").alias("__from")))
