@@ -7,9 +7,9 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from corvane import streaming
+from corvane import scratch, streaming
 from corvane.functions import cuts
-from corvane.operators import incremental
+from corvane.operators import analytics, incremental, upkeep
 from corvane.scratch import folder as scratch_folder
 from corvane.sources import ignores, records, snapshots
 from corvane.streaming import events, passes
@@ -135,6 +135,23 @@ def test_passes_go_on_after_a_stop(spark):
     assert {r.conv: r["pass"] for r in groups.collect()} == {c: c // 3 + 1 for c in range(7)}
 
 
+def test_many_passes_read_their_rows_a_few_times(spark):
+    rows, calls = spark.range(100).select("id", (F.col("id") * 2).alias("x")), []
+    found = passes.run(rows, ["id"], 2, lambda part: calls.append(1) or part, scratch_folder(spark))
+    assert {(r.id, r.x, r["pass"]) for r in found.collect()} == {(i, 2 * i, i // 2 + 1) for i in range(100)}
+    assert len(calls) <= 8  # for 50 passes
+
+
+def test_frames_do_not_reach_to_the_end(spark, monkeypatch):
+    """Spark reads such a frame anew for every row of a group."""
+    plans, kept = [], scratch.kept
+    monkeypatch.setattr(scratch, "kept", lambda df: plans.append(df) or kept(df))
+    items = spark.createDataFrame([(i, i % 2, 1 + i % 7) for i in range(40)], "id long, g long, size long")
+    plans.append(upkeep.batches(items, "g", "size", 9))
+    plans.append(analytics.bracketed(items, "g", ["id"], "size"))
+    assert not [p for p in plans if "unboundedfollowing" in p._jdf.queryExecution().optimizedPlan().toString().lower()]
+
+
 def event(session, kind, message=None, at="t", text="", repo="r"):
     said = {"session": session, "type": kind, "repo": repo, "message": {"id": message, "text": text}}
     return json.dumps(said | ({"timestamp": at} if at else {}))
