@@ -27,8 +27,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 SEED = 42
 #: Blocks of a fingerprint.
 BLOCKS = 20
-#: Documents of a key from which pairs of blocks take its place, and rounds of comparison with a drawn one before.
+#: Documents of a key from which they are compared with a drawn one first, and rounds of that.
 MANY, TURNS = 128, 2
+#: Documents of a key that are joined with each other; those of larger keys are compared in parts of so many.
+FEW, PART = 16, 2000
 #: A summary is a SimHash and the parities of cells, of so many words of 64 bits each; the SimHash counts between sets of ``LARGE`` shingles or more.
 SIM_WORDS, CELL_WORDS, LARGE = 8, 4, 128
 _SUMMARY = [f"s{i}" for i in range(SIM_WORDS + CELL_WORDS)]
@@ -217,14 +219,48 @@ def _grouped(shared: DataFrame, found: DataFrame) -> DataFrame:
     return stored(rows.withColumn("several", F.min("group").over(whole) != F.max("group").over(whole)).where("several").drop("several"))
 
 
+def _between(rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of different groups of a key that sizes, summaries and sketches leave possible.
+
+    A key's rows are dealt into parts of about ``PART``, and a task compares two parts at a time; only what is left
+    comes out of it. No key is too large for that, and none of its pairs is left out.
+    """
+    last, most, edge = most_bits(similarity), (1 - similarity) / (1 + similarity), 256
+    parts = F.ceil(F.col("now") / PART).cast("long")
+    mine = F.pmod(F.xxhash64("node"), parts)
+    dealt = rows.select("*", mine.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    tiles = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+
+    def compare(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_numpy() for c in ("node", "n", "group", "part", "i", "j")}
+        words = np.stack([table.column(c).to_numpy() for c in _SUMMARY], axis=1).view("<u8")
+        sketches, n, node, group = table.column("sketch"), columns["n"].astype(np.int64), columns["node"], columns["group"]
+        one, two = np.flatnonzero(columns["part"] == columns["i"][0]), np.flatnonzero(columns["part"] == columns["j"][0])
+        found = []
+        for start in range(0, len(one), edge):
+            for beyond in range(0, len(two), 8 * edge):
+                x, y = one[start : start + edge, None], two[None, beyond : beyond + 8 * edge]
+                maybe = (group[x] != group[y]) & (np.minimum(n[x], n[y]) + _EPS >= similarity * np.maximum(n[x], n[y]))
+                apart = sum(np.bitwise_count(words[x, w] ^ words[y, w]).astype(np.int64) for w in range(SIM_WORDS, SIM_WORDS + CELL_WORDS))
+                p, q = np.nonzero(maybe & (apart <= (n[x] + n[y]) * most + _EPS))
+                p, q = x[p, 0], y[0, q]
+                bits = np.bitwise_count(words[p, :SIM_WORDS] ^ words[q, :SIM_WORDS]).sum(axis=1)
+                kept = (np.minimum(n[p], n[q]) < LARGE) | (bits <= last)
+                found += [(p, q) for p, q in zip(p[kept].tolist(), q[kept].tolist(), strict=True) if possible(int(n[p]), sketches[p].as_py(), int(n[q]), sketches[q].as_py(), similarity)]
+        ends = np.sort(node[np.array(found, np.int64).reshape(-1, 2)], axis=1)
+        return pa.table({"a": np.ascontiguousarray(ends[:, 0]), "b": np.ascontiguousarray(ends[:, 1])})
+
+    return tiles.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) that connect the similar nodes of ``texts`` (node, text) that share a block.
 
     Documents that share a block are first compared with that of them which shares most blocks
     with others: of a group of copies, the original. Documents of crowded blocks are then compared
     with some drawn by a hash. What is connected needs no more comparison, so after that only
-    documents of different components are, and where many share a block only those that
-    share another one too. Sizes and summaries rule most pairs out before texts are fetched.
+    documents of different components are: all of them, where many share a block part by part (:func:`_between`).
+    Sizes, summaries and sketches rule most pairs out before texts are fetched.
     """
     profiles = stored(_profiles(texts, shingle, similarity), BATCH_ROWS)
     sketches = profiles.select("node", "n", "sketch")
@@ -232,11 +268,13 @@ def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     shared = stored(keyed.join(profiles.select("node", "n", *_SUMMARY), "node"))
     ordered = lambda rows, x, y: rows.select(F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")).distinct()
 
-    def checked(rows: DataFrame, x: str, y: str, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        pairs = ordered(rows.where(F.col(f"{x}.node") != F.col(f"{y}.node")).where(_may_be_similar(x, y, similarity)), x, y)
+    def weighed(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         return pairs, stored(_similar(stored(_possible(pairs, sketches, similarity)), texts, shingle, similarity), BATCH_PAIRS)
 
+    def checked(rows: DataFrame, x: str, y: str, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        return weighed(ordered(rows.where(F.col(f"{x}.node") != F.col(f"{y}.node")).where(_may_be_similar(x, y, similarity)), x, y), tried)
+
     degrees = shared.groupBy("node").agg(F.count("*").alias("degree"))
     centres = shared.join(degrees, "node").groupBy("key").agg(F.max_by(_row(), F.struct("degree", -F.col("node"))).alias("y"))
     tried, found = checked(shared.select("key", _row().alias("x")).join(centres, "key"), "x", "y", None)
@@ -250,16 +288,16 @@ def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
         fresh, more = checked(apart.select("x", F.col("c.row").alias("y")), "x", "y", tried)
         tried, found = tried.unionAll(fresh), found.unionAll(more)
         rows = _grouped(rows, found)
-    crowded = rows.where(F.col("held") > MANY)
-    finer = crowded.join(shared.select("node", F.col("key").alias("other"), F.col("held").alias("others")), "node").where((F.col("key") != F.col("other")) & ((F.col("others") <= MANY) | (F.col("key") < F.col("other"))))
-    finer = _together(finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "n", *_SUMMARY, "group").distinct())
-    rows = stored(rows.where(F.col("held") <= MANY).unionByName(finer))
+    rows = rows.withColumn("now", F.count("*").over(Window.partitionBy("key")))
+    few = rows.where(F.col("now") <= FEW)
     # the largest component of a key needs no comparison within, so one of a pair is of another
-    counted = rows.groupBy("key", "group").agg(F.count("*").alias("c"))
+    counted = few.groupBy("key", "group").agg(F.count("*").alias("c"))
     main = counted.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"))
-    others = rows.join(main, "key").where("group <> main").select("key", F.col("group").alias("mine"), _row().alias("x"))
-    pairs = others.join(rows.select("key", "group", _row().alias("y")), "key").where("group <> mine")
-    _, last = checked(pairs, "x", "y", tried)
+    others = few.join(main, "key").where("group <> main").select("key", F.col("group").alias("mine"), _row().alias("x"))
+    pairs = others.join(few.select("key", "group", _row().alias("y")), "key").where("group <> mine")
+    pairs = ordered(pairs.where(_may_be_similar("x", "y", similarity)), "x", "y")
+    crowded = _between(rows.where(F.col("now") > FEW).join(sketches.select("node", "sketch"), "node"), similarity)
+    _, last = weighed(pairs.union(crowded).distinct(), tried)
     for done in (profiles, shared, rows):
         discard(done)
     return found.unionAll(last)

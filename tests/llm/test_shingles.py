@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvane.llm import shingles
@@ -109,3 +110,14 @@ def test_summaries_count_bits_of_long_sets():
         bits = np.unpackbits(shingles._mixed(part[:, None] ^ salts[None, :]).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) if len(part) else np.zeros(64 * shingles.SIM_WORDS, np.int64)
         want = np.packbits(2 * bits > len(part), bitorder="little").view("<i8")
         assert (shingles.summary(part)[: shingles.SIM_WORDS] == want).all()
+
+
+def test_crowded_blocks_leave_no_pair_out(spark, monkeypatch):
+    """Pairs that share one crowded block only, and are not connected through its centre or a drawn document, are linked as well."""
+    monkeypatch.setattr(shingles, "MANY", 8)
+    monkeypatch.setattr(shingles, "PART", 13)
+    profiled = shingles._profiles
+    monkeypatch.setattr(shingles, "_profiles", lambda *x: profiled(*x).withColumn("keys", F.array(F.lit(7).cast("long"))))  # one block that all share
+    docs = [(n, " ".join(f"{n // 2}v{i}" for i in range(60)) + f" end{n}") for n in range(80)]
+    found = {(r.a, r.b) for r in shingles.links(spark.createDataFrame(docs, "node long, text string")).collect()}
+    assert found == {(n, n + 1) for n in range(0, 80, 2)}
