@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +23,10 @@ UNIT = 1_000_000
 FIRST = 8
 #: Rows of a row group's page: what a scan can leave out.
 PAGE_ROWS = 2000
+#: The most tokens that are sent to all tasks with their frequencies: those that have more than this part of the postings.
+FREQUENT = 100_000
+#: Texts whose tokens a task counts at a time.
+BATCH_ROWS = 1000
 FIELDS = ("name", "body")
 _TOKEN = "[a-z0-9_]+"
 
@@ -27,6 +35,27 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different token of a text, with how often and where it stands; a text's tokens need no shuffle to meet."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, BATCH_ROWS):
+            b = whole.slice(start, BATCH_ROWS)
+            size = pc.list_value_length(b.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = b.column("tokens").flatten().dictionary_encode()
+            row = np.repeat(np.arange(b.num_rows), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            key = row * len(codes.dictionary) + codes.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            ends = np.append(first, len(order))
+            text, at = pa.array(row[order[first]]), pa.array(order[first])
+            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
+            yield pa.record_batch(
+                [b.column("field").take(text), codes.dictionary.take(codes.indices.take(at)), b.column("id").take(text), b.column("length").take(text), pa.array(np.diff(ends)), places],
+                names=["field", "token", "id", "length", "tf", "places"],
+            )
+
+
 def build(elements: DataFrame, folder: str) -> None:
     """Write the index of (id, name, raw_text) under ``folder``: postings, terms and sizes.
 
@@ -38,13 +67,18 @@ def build(elements: DataFrame, folder: str) -> None:
     said = texts.select("id", "x.field", tokens(F.coalesce("x.text", F.lit(""))).alias("tokens")).withColumn("length", F.size("tokens"))
     sizes = said.groupBy("field").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
     sizes.coalesce(1).write.parquet(f"{folder}/sizes")
-    each = said.select("field", "id", "length", F.posexplode("tokens").alias("place", "token"))
-    held = each.groupBy("field", "token", "id", "length").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))  # as many places as one text has words
+    kind = dict(said.dtypes)["id"]
+    held = said.select("field", "id", "length", "tokens").mapInArrow(_counted, f"field string, token string, id {kind}, length int, tf long, places array<int>")
     held.write.parquet(f"{folder}/counts")
     spark = elements.sparkSession
     held, sizes = spark.read.parquet(f"{folder}/counts"), spark.read.parquet(f"{folder}/sizes")
-    df = held.groupBy("field", "token").agg(F.count("*").alias("df"))
-    rows = held.join(df, ["field", "token"]).join(F.broadcast(sizes), "field")  # one row for each field
+    held.groupBy("field", "token").agg(F.count("*").alias("df")).write.parquet(f"{folder}/frequencies")
+    df = spark.read.parquet(f"{folder}/frequencies")
+    # tokens of many postings are few and go to all tasks; only the others' postings are dealt to be joined
+    least = (df.agg(F.sum("df")).first()[0] or 0) // FREQUENT + 1
+    often = F.broadcast(df.where(F.col("df") >= least))
+    rest = held.join(often, ["field", "token"], "left_anti").join(df.where(F.col("df") < least), ["field", "token"])
+    rows = held.join(often, ["field", "token"]).unionByName(rest).join(F.broadcast(sizes), "field")  # one row for each field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (F.col("total") / F.col("n"))))
     weighed = rows.select("field", "token", "id", F.round(score * UNIT).cast("long").alias("weight"), "places")

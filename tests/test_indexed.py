@@ -63,6 +63,21 @@ def test_windows_are_the_best(corpus, words, k, field, phrase):
     assert sorted(got) == sorted(want)
 
 
+def test_build_joins_frequent_tokens_and_others(spark, corpus, monkeypatch):
+    """Postings of frequent tokens are not dealt by their token; the index is the same wherever the line is drawn."""
+    rows, index = corpus
+    elements = spark.createDataFrame(rows, "id long, name string, raw_text string")
+    want = sorted(map(str, index.postings.collect())), sorted(map(str, index.terms.collect()))
+    for frequent in (1, 60):  # no token, and some
+        monkeypatch.setattr(bm25, "FREQUENT", frequent)
+        folder = scratch.folder(spark)
+        bm25.build(elements, folder)
+        made = bm25.open_index(spark, folder)
+        assert (sorted(map(str, made.postings.collect())), sorted(map(str, made.terms.collect()))) == want
+    monkeypatch.undo()
+    assert {r.token: r.places for r in index.postings.where("id = 5001").collect()} == {"the": [0, 2, 4], "of": [1, 3]}
+
+
 def test_tails_stay_unread(corpus):
     _, index = corpus
     least = bm25.bounds(index, ["the", "of"], 10)
