@@ -12,6 +12,8 @@ from corvane import scratch
 
 #: Fields of a row that are no text of it.
 NO_TEXT = ("id", "state")
+#: Levels of a document that one pass walks down.
+LEVELS = 8
 
 
 @dataclass(frozen=True)
@@ -22,7 +24,7 @@ class Fields:
     context: tuple[str, ...] = field(default=())
 
 
-def _string(node: str, path: str) -> Column:
+def _string(node: str | Column, path: str) -> Column:
     """The string at a path of a variant; null if there is none or it is of another type."""
     value = F.try_variant_get(node, path, "variant")
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(node, path, "string"))
@@ -49,20 +51,18 @@ def sections(docs: DataFrame) -> DataFrame:
     The title is that of the first section called ``meta`` that has one.
     """
     listed = docs.select("doc_id", "doc", F.try_variant_get("doc", "$.sections", "variant").alias("list"))
-    listed = listed.where(F.schema_of_variant("list").startswith("ARRAY"))
-    each = _exploded(listed, "list").withColumns({"section": _string("value", "$.name"), "meta_title": _string("value", "$.value.title")}).where("section IS NOT NULL")
-    whole = Window.partitionBy("doc_id")
-    title = F.min(F.when((F.col("section") == "meta") & F.col("meta_title").isNotNull(), F.struct("pos", "meta_title"))).over(whole)["meta_title"]
+    named = F.transform(F.try_variant_get("list", "$", "array<variant>"), lambda x: F.struct(_string(x, "$.name").alias("name"), _string(x, "$.value.title").alias("title")))
+    title = F.get(F.filter(named, lambda x: (x["name"] == "meta") & x["title"].isNotNull()), F.lit(0))["title"]
     excluded = F.try_variant_get("doc", "$.dd.sweep_exclude", "variant")
-    return each.select(
+    heads = listed.select(
         "doc_id",
         F.coalesce(_string("doc", "$.dd.schema"), F.lit("")).alias("schema"),
         F.coalesce(F.when(F.schema_of_variant(excluded) == "BOOLEAN", F.try_variant_get("doc", "$.dd.sweep_exclude", "boolean")), F.lit(False)).alias("sweep_excluded"),
-        F.col("pos").alias("section_no"),
-        "section",
-        F.try_variant_get("value", "$.value", "variant").alias("value"),
         title.alias("title"),
+        F.when(F.try_variant_get("list", "$", "array<variant>").isNotNull(), F.col("list")).alias("list"),  # an object has no sections
     )
+    each = _exploded(heads, "list").withColumn("section", _string("value", "$.name")).where("section IS NOT NULL")
+    return each.select("doc_id", "schema", "sweep_excluded", F.col("pos").alias("section_no"), "section", F.try_variant_get("value", "$.value", "variant").alias("value"), "title")
 
 
 def _field_lines(node: str, names: tuple[str, ...], prefix: str) -> list[Column]:
@@ -83,34 +83,65 @@ def _row_text(declared: dict[str, Fields] | None) -> tuple[Column, Column]:
     return text, F.lit("schema")
 
 
-def rows(docs: DataFrame, declared: dict[str, Fields] | None = None) -> DataFrame:
-    """One row for each row of :func:`parsed` documents: an object with a string ``id``, wherever it stands below a section.
+def _walked(level: DataFrame) -> DataFrame:
+    """``LEVELS`` levels further down from nodes that are no rows: the rows on the way with their id, and what is left below, without one.
 
-    doc_id, schema, sweep_excluded, title, section, trail (section, keys on the way, id), sibling_order (from 0 in
-    each section, in the order of the text with keys sorted), state, text and basis. Rows do not
-    nest: what is below one is part of it. The levels of a document are walked together for
-    all documents, one level a round, each kept in the shared folder, until nothing is left: no depth is too deep.
+    A row is carried along as it is, so the levels are one pass over the documents and nothing is stored between them.
     """
-    carried = ["doc_id", "schema", "sweep_excluded", "title", "section_no", "section"]
-    level = sections(docs).select(*carried, F.array("section").alias("trail"), F.array("section_no").alias("place"), F.col("value").alias("node"))
+    level = level.withColumn("id", _string("node", "$.id"))
+    for _ in range(LEVELS):
+        below = level.withColumn("open", F.when(F.col("id").isNull(), F.col("node")))
+        each = below.lateralJoin(below.sparkSession.tvf.variant_explode_outer(F.col("open").outer()))
+        each = each.where("id IS NOT NULL OR value IS NOT NULL")  # scalars and empty nodes end here
+        old = F.col("id").isNotNull()
+        same = [c for c in each.columns if c not in ("trail", "place", "node", "id", "open", "pos", "key", "value")]
+        level = each.select(
+            *same,
+            F.when(old | F.col("key").isNull(), F.col("trail")).otherwise(F.array_append("trail", F.col("key"))).alias("trail"),
+            F.when(old, F.col("place")).otherwise(F.array_append("place", F.col("pos"))).alias("place"),
+            F.when(old, F.col("node")).otherwise(F.col("value")).alias("node"),
+            F.when(old, F.col("id")).otherwise(_string("value", "$.id")).alias("id"),
+        )
+    return level
+
+
+def _found(level: DataFrame, columns: list[Column]) -> DataFrame:
+    """``columns`` of every row below the nodes of a level; the passes are kept in the shared folder, without what is below a row."""
     found: list[DataFrame] = []
     while True:
-        level = scratch.kept(level.withColumn("id", _string("node", "$.id")))
-        found.append(level.where("id IS NOT NULL").withColumn("trail", F.array_append("trail", F.col("id"))))
-        if level.where("id IS NULL").isEmpty():
+        passed = _walked(level).withColumn("row", F.col("id").isNotNull()).withColumn("trail", F.when(F.col("row"), F.array_append("trail", F.col("id"))).otherwise(F.col("trail")))
+        rest = F.when(~F.col("row") & F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)"), F.struct(*level.columns))
+        done = scratch.kept(passed.select(F.when(F.col("row"), F.struct(*columns)).alias("made"), rest.alias("rest")).where("made IS NOT NULL OR rest IS NOT NULL"))
+        found.append(done.where("made IS NOT NULL").select("made.*"))
+        level = done.where("rest IS NOT NULL").select("rest.*")
+        if level.isEmpty():
             break
-        below = _exploded(level.where("id IS NULL").drop("id"), "node")
-        trail = F.when(F.col("key").isNull(), F.col("trail")).otherwise(F.array_append("trail", F.col("key")))
-        holds = F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")
-        level = below.where(holds).select(*carried, trail.alias("trail"), F.array_append("place", F.col("pos")).alias("place"), F.col("value").alias("node"))
     every = found[0]
     for more in found[1:]:
         every = every.unionAll(more)
+    return every
+
+
+def rows(docs: DataFrame, declared: dict[str, Fields] | None = None) -> DataFrame:
+    """One row for each row of :func:`parsed` documents: an object with a string ``id``, wherever it stands below a section.
+
+    doc_id, schema, sweep_excluded, title, section, trail (section, keys on the way, id), sibling_order (from 0 in
+    each section, in the order of the text with keys sorted), state, text and basis. Rows do not
+    nest: what is below one is part of it. ``LEVELS`` levels of all documents are walked in one pass, and
+    what lies deeper in further ones, until nothing is left: no depth is too deep.
+    """
+    carried = ["doc_id", "schema", "sweep_excluded", "title", "section_no", "section"]
+    level = sections(docs).select(*carried, F.array("section").alias("trail"), F.array("section_no").alias("place"), F.col("value").alias("node"))
     text, basis = _row_text(declared)
+    every = _found(level, [*[F.col(c) for c in carried], F.col("trail"), F.col("place"), _string("node", "$.state").alias("state"), text.alias("text")])
     order = F.row_number().over(Window.partitionBy("doc_id", "section_no").orderBy("place")) - 1
-    return every.select(
-        "doc_id", "schema", "sweep_excluded", "title", "section", "trail", order.alias("sibling_order"), _string("node", "$.state").alias("state"), text.alias("text"), basis.alias("basis")
-    )
+    return every.select("doc_id", "schema", "sweep_excluded", "title", "section", "trail", order.alias("sibling_order"), "state", "text", basis.alias("basis"))
+
+
+def holders(docs: DataFrame) -> DataFrame:
+    """doc_id and section (its name) of the sections of :func:`parsed` documents that hold rows, once for each row."""
+    level = sections(docs).select("doc_id", "section", F.array("section").alias("trail"), F.array("section_no").alias("place"), F.col("value").alias("node"))
+    return _found(level, [F.col("doc_id"), F.col("section")])
 
 
 def section_texts(docs: DataFrame, found: DataFrame) -> DataFrame:

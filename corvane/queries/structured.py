@@ -77,7 +77,7 @@ def declared_row_texts(t: Tables) -> DataFrame:
 )
 def section_leftovers(t: Tables) -> DataFrame:
     docs = _texts(t)
-    plain = structured.section_texts(docs, structured.rows(docs))
+    plain = structured.section_texts(docs, structured.holders(docs))
     return plain.unionByName(structured.unparseable(docs).select("doc_id", F.lit(None).cast("string").alias("section"), F.lit("unparseable").alias("text")))
 
 

@@ -61,3 +61,18 @@ def test_trees(spark):
     assert [r.id for r in walk] == [1000, 1002, 1003, 1004, 1001]
     assert sorted(r.id for r in trees.loose(nodes, trees.assembled(nodes)).collect()) == [2000, 2001, 2002, 2003, 2004]
     assert trees.assembled(nodes.limit(0)).count() == 0
+
+
+def test_levels_are_walked_in_one_pass(spark, monkeypatch):
+    """Only what lies deeper than one pass reaches is stored and walked again."""
+    stored, kept = [], structured.scratch.kept
+    monkeypatch.setattr(structured.scratch, "kept", lambda df: stored.append(kept(df)) or stored[-1])
+    given = docs(spark, json.dumps(DOC))
+    found = structured.rows(given).select("doc_id", "section").collect()
+    assert len(stored) == 1
+    assert sorted(structured.holders(given).collect()) == sorted(found)
+    deep = {"id": "bottom"}
+    for _ in range(structured.LEVELS):
+        deep = {"k": [deep]}
+    (row,) = structured.rows(docs(spark, json.dumps({"sections": [{"name": "s", "value": [[], 1, {"z": 2}, deep]}]}))).collect()
+    assert row.trail == ["s", *["k"] * structured.LEVELS, "bottom"] and row.sibling_order == 0
