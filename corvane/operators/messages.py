@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from corvane.operators.analytics import bracketed
 
+#: Seconds of a slot of a seat's time.
+SLOT = 6 * 3600
+
 
 def seats(conversations: DataFrame, turns: DataFrame, early: int = 5) -> DataFrame:
     """conv, seat and evidence: the seat that a conversation's metadata gives, else the one its earliest turns name first."""
@@ -20,15 +23,23 @@ def matched_sends(messages: DataFrame, sends: DataFrame, within: int) -> DataFra
     """msg_id, target and send_conv of the latest call that sent each message: of its key, from another conversation, at
     most ``within`` seconds before. With several targets only calls to the receiver's own seat count.
 
-    The join is on key and time slot, so that a text sent over and over meets only what was sent about then. Of
-    calls of one second the one with the larger conversation and target wins.
+    Of each target that its key is sent to about then, a message meets only the latest call of another conversation. It is carried
+    forward through the slot's calls as the last call and the last of another conversation than that, so a text
+    sent over and over makes no pairs. Of calls of one second the one with the larger conversation and target wins.
     """
-    slot = lambda c: F.floor(F.col(c) / within)
-    m = messages.where("key IS NOT NULL").select("msg_id", "key", "sent_at", "to_conv", "conv_seat", F.explode(F.array(slot("sent_at"), slot("sent_at") - 1)).alias("slot"))
-    s = sends.where("key IS NOT NULL").select("key", "at", "target", "send_conv").distinct().withColumn("slot", slot("at"))
-    pairs = m.join(s, ["key", "slot"]).where(F.col("at").between(F.col("sent_at") - within, F.col("sent_at")) & (F.col("send_conv") != F.col("to_conv")))
-    call = F.struct("at", "send_conv", "target")
-    found = pairs.groupBy("msg_id").agg(
+    none, slot = F.lit(None), F.floor(F.col("t") / within)
+    kind = "struct<at:bigint,send_conv:bigint>"
+    s = sends.where("key IS NOT NULL AND send_conv IS NOT NULL").select("key", F.col("at").alias("t"), "target", F.struct(F.col("at").cast("long").alias("at"), F.col("send_conv").cast("long").alias("send_conv")).alias("one"))
+    s = s.withColumn("slot", F.explode(F.array(slot, slot + 1)))
+    before = F.lag("one").over(Window.partitionBy("key", "slot", "target").orderBy("t", "one.send_conv"))
+    calls = s.select("key", "slot", "target", "t", "one", F.when(before["send_conv"] != F.col("one.send_conv"), before).alias("other"), *[none.cast("long").alias(c) for c in ("msg_id", "to_conv")], none.cast("string").alias("conv_seat"))
+    m = messages.where("key IS NOT NULL AND to_conv IS NOT NULL").select("msg_id", "key", F.col("sent_at").alias("t"), "to_conv", "conv_seat").withColumn("slot", slot)
+    asked = m.join(s.select("key", "slot", "target").distinct(), ["key", "slot"]).withColumns({"one": none.cast(kind), "other": none.cast(kind)})
+    order = Window.partitionBy("key", "slot", "target").orderBy("t", F.col("msg_id").asc_nulls_first(), "one.send_conv").rowsBetween(Window.unboundedPreceding, 0)
+    carried = calls.unionByName(asked).withColumns({c: F.last(c, ignorenulls=True).over(order) for c in ("one", "other")}).where("msg_id IS NOT NULL")
+    met = carried.withColumn("met", F.when(F.col("one.send_conv") != F.col("to_conv"), F.col("one")).otherwise(F.col("other"))).where(F.col("met.at") >= F.col("t") - within)
+    call = F.struct("met.at", "met.send_conv", "target")
+    found = met.groupBy("msg_id").agg(
         (F.min("target") != F.max("target")).alias("several"), F.max(call).alias("latest"), F.max(F.when(F.col("target") == F.col("conv_seat"), call)).alias("own")
     )
     best = F.when(F.col("several"), F.col("own")).otherwise(F.col("latest"))
@@ -36,13 +47,16 @@ def matched_sends(messages: DataFrame, sends: DataFrame, within: int) -> DataFra
 
 
 def latest_sends(messages: DataFrame, sends: DataFrame, within: int) -> DataFrame:
-    """msg_id, send_conv and send_seat of the last call to the resolved seat at most ``within`` seconds before: one order per seat, no pairs."""
-    none = F.lit(None)
+    """msg_id, send_conv and send_seat of the last call to the resolved seat at most ``within`` seconds before: one order per seat and slot of time, no pairs.
+
+    A call stands in its own slot of ``within`` seconds and in the next, so that a message finds it in its own; seats are few, slots many.
+    """
+    none, slot = F.lit(None), F.floor(F.col("t") / within)
     call = F.struct(F.col("at").alias("at"), F.col("send_conv").alias("send_conv"), F.col("send_seat").alias("send_seat"))
     kind = "struct<at:bigint,send_conv:bigint,send_seat:string>"
-    m = messages.where("to_seat IS NOT NULL").select(F.col("to_seat").alias("seat"), F.col("sent_at").alias("t"), "msg_id", none.cast(kind).alias("call"))
-    s = sends.select(F.col("target").alias("seat"), F.col("at").alias("t"), none.cast("long").alias("msg_id"), call.cast(kind).alias("call"))
-    order = Window.partitionBy("seat").orderBy("t", F.col("msg_id").asc_nulls_first(), "call.send_conv", "call.send_seat").rowsBetween(Window.unboundedPreceding, 0)
+    m = messages.where("to_seat IS NOT NULL").select(F.col("to_seat").alias("seat"), F.col("sent_at").alias("t"), "msg_id", none.cast(kind).alias("call")).withColumn("slot", slot)
+    s = sends.select(F.col("target").alias("seat"), F.col("at").alias("t"), none.cast("long").alias("msg_id"), call.cast(kind).alias("call")).withColumn("slot", F.explode(F.array(slot, slot + 1)))
+    order = Window.partitionBy("seat", "slot").orderBy("t", F.col("msg_id").asc_nulls_first(), "call.send_conv", "call.send_seat").rowsBetween(Window.unboundedPreceding, 0)
     carried = m.unionByName(s).withColumn("call", F.last("call", ignorenulls=True).over(order)).where("msg_id IS NOT NULL")
     return carried.where(F.col("t") - F.col("call.at") <= within).select("msg_id", "call.send_conv", "call.send_seat")
 
@@ -50,16 +64,22 @@ def latest_sends(messages: DataFrame, sends: DataFrame, within: int) -> DataFram
 def only_live(messages: DataFrame, spans: DataFrame) -> DataFrame:
     """msg_id and live_conv: the one conversation of the sender's seat that was live when a message came, the receiver aside.
 
-    How many are live and the sum of their numbers are carried along each seat's time, and the receiver's own
-    span is taken off by an equality join; so a seat of many conversations makes no pairs.
+    How many are live and the sum of their numbers are carried along each seat's time, slot by slot with what the slots
+    before add up to, and the receiver's own span is taken off by an equality join; so a seat of many conversations makes no pairs.
     """
     held = spans.where("seat IS NOT NULL AND started IS NOT NULL AND last IS NOT NULL")
-    n = F.col("conv").cast("decimal(38,0)")
+    n, slot = F.col("conv").cast("decimal(38,0)"), F.floor(F.col("t") / SLOT)
     event = lambda at, side, sign: held.select("seat", F.col(at).alias("t"), F.lit(side).alias("side"), F.lit(sign).alias("n"), (n * sign).cast("decimal(38,0)").alias("s"), F.lit(None).cast("long").alias("msg_id"))
     asked = messages.where("from_seat IS NOT NULL").select(F.col("from_seat").alias("seat"), F.col("sent_at").alias("t"), F.lit(1).alias("side"), F.lit(0).alias("n"), F.lit(0).cast("decimal(38,0)").alias("s"), "msg_id")
-    order = Window.partitionBy("seat").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    events = event("started", 0, 1).unionByName(event("last", 2, -1)).unionByName(asked)
-    counted = events.withColumns({"n": F.sum("n").over(order), "s": F.sum("s").over(order)}).where("msg_id IS NOT NULL").select("msg_id", "n", "s")
+    ends = event("started", 0, 1).unionByName(event("last", 2, -1)).withColumn("slot", slot)
+    # one row a seat and slot, of any number of events
+    before = Window.partitionBy("seat").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ends.select("seat", "slot", "n", "s").unionByName(asked.select("seat", slot.alias("slot"), "n", "s")).groupBy("seat", "slot").agg(F.sum("n").alias("n"), F.sum("s").cast("decimal(38,0)").alias("s"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    start = sums.select("seat", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before).cast("decimal(38,0)"), zero).alias("s0"))
+    order = Window.partitionBy("seat", "slot").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    counted = ends.unionByName(asked.withColumn("slot", slot)).withColumns({"n": F.sum("n").over(order), "s": F.sum("s").over(order).cast("decimal(38,0)")}).where("msg_id IS NOT NULL")
+    counted = counted.join(start, ["seat", "slot"]).select("msg_id", (F.col("n") + F.col("n0")).alias("n"), (F.col("s") + F.col("s0")).cast("decimal(38,0)").alias("s"))
     own = held.select(F.col("conv").alias("to_conv"), F.col("seat").alias("from_seat"), "started", "last")
     mine = messages.join(own, ["to_conv", "from_seat"]).where(F.col("sent_at").between(F.col("started"), F.col("last"))).select("msg_id", F.col("to_conv").alias("me"))
     rest = counted.join(mine, "msg_id", "left").select("msg_id", (F.col("n") - F.col("me").isNotNull().cast("int")).alias("n"), (F.col("s") - F.coalesce("me", F.lit(0))).cast("long").alias("live_conv"))

@@ -56,3 +56,29 @@ def test_seats(spark):
         spark.createDataFrame([(1, 1, "p"), (2, 4, "q"), (2, 2, "r"), (3, 6, "late"), (3, 1, None)], "conv long, turn_no long, preamble_seat string"),
     )
     assert {tuple(r) for r in got.collect()} == {(1, "m", "metadata"), (2, "r", "preamble"), (3, None, None)}
+
+
+def test_matched_sends_are_brute_force_without_pairs(spark):
+    """Calls of one key at one time, as the copies of a table have them: the latest of another conversation, with few rows in between."""
+    r = random.Random(3)
+    sends = [(r.randrange(6), r.randrange(60), r.choice("abc"[: 1 + k % 3]), f"k{k}") for k in range(6) for _ in range(40)]
+    asked = [(m, r.randrange(6), r.randrange(70), r.choice(["a", "b", None]), f"k{r.randrange(7)}") for m in range(400)]
+    want = []
+    for m, to, at, seat, key in asked:
+        met = [(t, c, x) for c, t, x, k in sends if k == key and at - 9 <= t <= at and c != to]
+        met = [p for p in met if p[2] == seat] if len({p[2] for p in met}) > 1 else met
+        want += [(m, max(met)[2], max(met)[1])] if met else []
+    given = spark.createDataFrame(asked, "msg_id long, to_conv long, sent_at long, conv_seat string, key string")
+    got = messages.matched_sends(given, spark.createDataFrame(sends, "send_conv long, at long, target string, key string"), 9)
+    assert sorted(tuple(x) for x in got.collect()) == want and len(want) > 150
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "sent_at" not in plan.split("Join Inner")[0]  # a message is joined with targets, not with times of calls
+
+
+def test_windows_of_seats_are_cut_by_time(spark):
+    given = spark.createDataFrame([(1, 1, 10, "a", "a")], "msg_id long, to_conv long, sent_at long, from_seat string, to_seat string")
+    calls = spark.createDataFrame([(2, 9, "a", "s")], "send_conv long, at long, target string, send_seat string")
+    plans = [messages.latest_sends(given, calls, 15), messages.only_live(given, spark.createDataFrame([(2, "a", 0, 90)], SPANS))]
+    assert [df.count() for df in plans] == [1, 1]
+    for df in plans:
+        assert any("slot" in line for line in df._jdf.queryExecution().analyzed().toString().splitlines() if line.lstrip(" +-:").startswith("Window"))
