@@ -34,6 +34,25 @@ def community_tags(tagged: DataFrame, most: int = 6, sharp: float = 2.0) -> Data
     pairs = tagged.groupBy("community", "member", "tag").agg(F.count("*").alias("n"))
     counts = pairs.groupBy("community", "tag").agg(F.sum("n").alias("n"), F.count("*").alias("carriers"))
     sizes = tagged.groupBy("community").agg(F.count("*").alias("total"), F.count_distinct("member").alias("members"))
+    return _apart(counts, sizes, most, sharp)
+
+
+def listed_community_tags(listed: DataFrame, most: int = 6, sharp: float = 2.0) -> DataFrame:
+    """:func:`community_tags` from rows (community, member, tags), a member's tags in one list, repeats included.
+
+    Where no member has several rows, a row's tags and carried tags are counted where it is read, and only sums are shuffled.
+    """
+    several = listed.groupBy("community", "member").agg(F.count("*").alias("n")).where("n > 1 OR member IS NULL")
+    if not several.isEmpty():
+        return community_tags(listed.select("community", "member", F.explode("tags").alias("tag")), most, sharp)
+    one = lambda tags, n, carriers: F.transform(tags, lambda x: F.struct(x.alias("tag"), F.lit(n).alias("n"), F.lit(carriers).alias("carriers")))
+    each = listed.select("community", F.explode(F.concat(one("tags", 1, 0), one(F.array_distinct("tags"), 0, 1))).alias("x"))
+    counts = each.groupBy("community", "x.tag").agg(F.sum("x.n").alias("n"), F.sum("x.carriers").alias("carriers"))
+    sizes = listed.where(F.size("tags") > 0).groupBy("community").agg(F.sum(F.size("tags")).alias("total"), F.count("*").alias("members"))
+    return _apart(counts, sizes, most, sharp)
+
+
+def _apart(counts: DataFrame, sizes: DataFrame, most: int, sharp: float) -> DataFrame:
     corpus = counts.groupBy("tag").agg(F.sum("n").alias("corpus"))
     whole = sizes.agg(F.sum("total").alias("whole"))  # one row
     rows = counts.join(sizes, "community").join(corpus, "tag").crossJoin(F.broadcast(whole))

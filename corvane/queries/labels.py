@@ -70,8 +70,8 @@ def representative_turns(t: Tables) -> DataFrame:
     SELECT community, tag, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY (lift >= 2.0) DESC, score DESC, tag) AS rank FROM r) WHERE rank <= 6"""
 )
 def community_tags(t: Tables) -> DataFrame:
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("tag")
-    return labels.community_tags(t.documents.select(F.col("lang").alias("community"), F.col("doc_id").alias("member"), words))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("tags")
+    return labels.listed_community_tags(t.documents.select(F.col("lang").alias("community"), F.col("doc_id").alias("member"), words))
 
 
 # A document is a job: half name their own text, the rest its items; content in English is alive, as are summaries of some sources.
