@@ -29,8 +29,8 @@ SEED = 42
 BLOCKS = 20
 #: Documents of a key from which they are compared with a drawn one first, and rounds of that.
 MANY, TURNS = 128, 2
-#: Documents of a key that are joined with each other; those of larger keys are compared in parts of so many.
-FEW, PART = 16, 2000
+#: Documents of a key that are joined with each other; those of larger keys are compared in parts of so many, or of so many shingles.
+FEW, PART, PART_SHINGLES = 16, 2000, 1_000_000
 #: A summary is a SimHash and the parities of cells, of so many words of 64 bits each; the SimHash counts between sets of ``LARGE`` shingles or more.
 SIM_WORDS, CELL_WORDS, LARGE = 8, 4, 128
 _SUMMARY = [f"s{i}" for i in range(SIM_WORDS + CELL_WORDS)]
@@ -219,35 +219,78 @@ def _grouped(shared: DataFrame, found: DataFrame) -> DataFrame:
     return stored(rows.withColumn("several", F.min("group").over(whole) != F.max("group").over(whole)).where("several").drop("several"))
 
 
-def _between(rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of different groups of a key that sizes, summaries and sketches leave possible.
+def _spanning(groups: np.ndarray, sets: list[np.ndarray], candidates: Iterator[tuple[np.ndarray, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """Links between similar ones of the candidate pairs of ``sets`` that connect what those connect, one less than it has groups; ``groups`` are connected already.
 
-    A key's rows are dealt into parts of about ``PART``, and a task compares two parts at a time; only what is left
-    comes out of it. No key is too large for that, and none of its pairs is left out.
+    A set's elements are marked, and what each of its candidates shares with it is counted in one pass.
+    """
+    group = np.unique(groups, return_inverse=True)[1]
+    numbers = np.unique(np.concatenate([*sets, np.empty(0, np.int64)]), return_inverse=True)[1]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(sizes)
+    of = lambda i: numbers[ends[i] - sizes[i] : ends[i]]
+    marks, found = np.zeros(len(numbers), bool), []
+    for p, q in candidates:
+        if not len(p):
+            continue
+        first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        for x, ys in zip(p[first].tolist(), np.split(q, first[1:]), strict=True):
+            ys = ys[group[ys] != group[x]]
+            if not len(ys):
+                continue
+            marks[of(x)] = True
+            both = np.add.reduceat(marks[np.concatenate([of(y) for y in ys.tolist()])], np.append(0, np.cumsum(sizes[ys])[:-1]), dtype=np.int64)
+            marks[of(x)] = False
+            for y in ys[both + _EPS >= similarity * (sizes[x] + sizes[ys] - both)].tolist():
+                if group[x] != group[y]:
+                    group[group == group[y]] = group[x]
+                    found.append((x, y))
+    return found
+
+
+def _between(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the similar documents of different groups of a key.
+
+    A key's rows are dealt into parts of about ``PART`` documents, or of ``PART_SHINGLES`` if they are long, and a task compares
+    two parts at a time, in full: what sizes and summaries leave possible by the documents' shingles, which are brought along. Only links
+    that span its groups come out of it, fewer than it has documents. No key is too large for that, and none of its pairs is left out.
     """
     last, most, edge = most_bits(similarity), (1 - similarity) / (1 + similarity), 256
-    parts = F.ceil(F.col("now") / PART).cast("long")
-    mine = F.pmod(F.xxhash64("node"), parts)
-    dealt = rows.select("*", mine.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    tiles = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), shingle).view("<i8") for t in b.column("text")]
+            yield pa.record_batch([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    each = rows.groupBy("node").agg(F.collect_list(F.struct("key", "now", "total")).alias("at"), *[F.first(c).alias(c) for c in ("n", *_SUMMARY, "group")])
+    cuts = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(cut, "node long, shingles array<long>")
+    keyed = each.join(cuts, "node").withColumn("at", F.explode("at")).select("*", "at.*").drop("at")
+    parts = F.greatest(F.ceil(F.col("now") / PART), F.ceil(F.col("total") / PART_SHINGLES)).cast("long")
+    dealt = keyed.withColumns({"part": F.pmod(F.xxhash64("node"), parts), "other": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))})
+    tiles = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", *_SUMMARY, "group", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
-        columns = {c: table.column(c).to_numpy() for c in ("node", "n", "group", "part", "i", "j")}
+        n, node, group, part = (table.column(c).to_numpy() for c in ("n", "node", "group", "part"))
         words = np.stack([table.column(c).to_numpy() for c in _SUMMARY], axis=1).view("<u8")
-        sketches, n, node, group = table.column("sketch"), columns["n"].astype(np.int64), columns["node"], columns["group"]
-        one, two = np.flatnonzero(columns["part"] == columns["i"][0]), np.flatnonzero(columns["part"] == columns["j"][0])
-        found = []
-        for start in range(0, len(one), edge):
-            for beyond in range(0, len(two), 8 * edge):
-                x, y = one[start : start + edge, None], two[None, beyond : beyond + 8 * edge]
-                maybe = (group[x] != group[y]) & (np.minimum(n[x], n[y]) + _EPS >= similarity * np.maximum(n[x], n[y]))
-                apart = sum(np.bitwise_count(words[x, w] ^ words[y, w]).astype(np.int64) for w in range(SIM_WORDS, SIM_WORDS + CELL_WORDS))
-                p, q = np.nonzero(maybe & (apart <= (n[x] + n[y]) * most + _EPS))
-                p, q = x[p, 0], y[0, q]
-                bits = np.bitwise_count(words[p, :SIM_WORDS] ^ words[q, :SIM_WORDS]).sum(axis=1)
-                kept = (np.minimum(n[p], n[q]) < LARGE) | (bits <= last)
-                found += [(p, q) for p, q in zip(p[kept].tolist(), q[kept].tolist(), strict=True) if possible(int(n[p]), sketches[p].as_py(), int(n[q]), sketches[q].as_py(), similarity)]
-        ends = np.sort(node[np.array(found, np.int64).reshape(-1, 2)], axis=1)
+        sets = [x for chunk in table.column("shingles").chunks if len(chunk) for x in np.split(chunk.flatten().to_numpy(), np.diff(chunk.offsets.to_numpy()).cumsum()[:-1])]
+        i, j, n = table.column("i")[0].as_py(), table.column("j")[0].as_py(), n.astype(np.int64)
+        one, two = np.flatnonzero(part == i), np.flatnonzero(part == j)
+
+        def possible() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for start in range(0, len(one), edge):
+                for beyond in range(0, len(two), 8 * edge):
+                    x, y = one[start : start + edge, None], two[None, beyond : beyond + 8 * edge]
+                    maybe = (group[x] != group[y]) & (np.minimum(n[x], n[y]) + _EPS >= similarity * np.maximum(n[x], n[y]))
+                    if i == j:
+                        maybe &= x < y
+                    apart = sum(np.bitwise_count(words[x, w] ^ words[y, w]).astype(np.int64) for w in range(SIM_WORDS, SIM_WORDS + CELL_WORDS))
+                    p, q = np.nonzero(maybe & (apart <= (n[x] + n[y]) * most + _EPS))
+                    p, q = x[p, 0], y[0, q]
+                    bits = np.bitwise_count(words[p, :SIM_WORDS] ^ words[q, :SIM_WORDS]).sum(axis=1)
+                    kept = (np.minimum(n[p], n[q]) < LARGE) | (bits <= last)
+                    yield p[kept], q[kept]
+
+        ends = np.sort(node[np.array(_spanning(group, sets, possible(), similarity), np.int64).reshape(-1, 2)], axis=1)
         return pa.table({"a": np.ascontiguousarray(ends[:, 0]), "b": np.ascontiguousarray(ends[:, 1])})
 
     return tiles.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
@@ -288,7 +331,8 @@ def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
         fresh, more = checked(apart.select("x", F.col("c.row").alias("y")), "x", "y", tried)
         tried, found = tried.unionAll(fresh), found.unionAll(more)
         rows = _grouped(rows, found)
-    rows = rows.withColumn("now", F.count("*").over(Window.partitionBy("key")))
+    whole = Window.partitionBy("key")
+    rows = rows.withColumns({"now": F.count("*").over(whole), "total": F.sum("n").over(whole)})
     few = rows.where(F.col("now") <= FEW)
     # the largest component of a key needs no comparison within, so one of a pair is of another
     counted = few.groupBy("key", "group").agg(F.count("*").alias("c"))
@@ -296,11 +340,11 @@ def links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     others = few.join(main, "key").where("group <> main").select("key", F.col("group").alias("mine"), _row().alias("x"))
     pairs = others.join(few.select("key", "group", _row().alias("y")), "key").where("group <> mine")
     pairs = ordered(pairs.where(_may_be_similar("x", "y", similarity)), "x", "y")
-    crowded = _between(rows.where(F.col("now") > FEW).join(sketches.select("node", "sketch"), "node"), similarity)
-    _, last = weighed(pairs.union(crowded).distinct(), tried)
+    _, last = weighed(pairs, tried)
+    crowded = stored(_between(stored(rows.where(F.col("now") > FEW)), texts, shingle, similarity), BATCH_PAIRS)
     for done in (profiles, shared, rows):
         discard(done)
-    return found.unionAll(last)
+    return found.unionAll(last).unionAll(crowded)
 
 
 def shingle_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -121,3 +121,25 @@ def test_crowded_blocks_leave_no_pair_out(spark, monkeypatch):
     docs = [(n, " ".join(f"{n // 2}v{i}" for i in range(60)) + f" end{n}") for n in range(80)]
     found = {(r.a, r.b) for r in shingles.links(spark.createDataFrame(docs, "node long, text string")).collect()}
     assert found == {(n, n + 1) for n in range(0, 80, 2)}
+
+
+def test_crowded_blocks_give_back_no_more_rows_than_documents(spark, monkeypatch):
+    """What is a little less than similar, and what is similar to all others, leaves a task's comparison in a number of rows below that of documents."""
+    monkeypatch.setattr(shingles, "MANY", 8)
+    monkeypatch.setattr(shingles, "TURNS", 0)
+    profiled, kept, sizes = shingles._profiles, shingles.stored, []
+    monkeypatch.setattr(shingles, "_profiles", lambda *x: profiled(*x).withColumn("keys", F.array(F.lit(7).cast("long"))))
+    monkeypatch.setattr(shingles, "stored", lambda df, *x: (made := kept(df, *x), sizes.append(made.count() if made.columns == ["a", "b"] else 0))[0])
+    passage = " ".join(f"p{i}" for i in range(104))
+    docs = [(n, passage + "".join(f" u{n}x{i}" for i in range(13))) for n in range(80)]
+    alike = " ".join(f"q{i}" for i in range(104))
+    docs += [(100 + n, alike + "".join(f" v{n}x{i}" for i in range(9))) for n in range(40)]
+    _, pairs = kept_by_hand(docs)
+    assert pairs == {(a, b) for a in range(100, 140) for b in range(a + 1, 140)}
+    found = {(r.a, r.b) for r in shingles.links(spark.createDataFrame(docs, "node long, text string")).collect()}
+    assert found <= pairs and max(sizes) <= len(docs)
+    parent = {n: n for n in range(100, 140)}
+    for a, b in sorted(found, key=lambda p: p[1]):
+        old, new = parent[b], parent[a]
+        parent = {n: new if g == old else g for n, g in parent.items()}
+    assert len(set(parent.values())) == 1
