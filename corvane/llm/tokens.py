@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -18,8 +18,8 @@ _PIECES = re.compile(r"[^\W\d_]+|[\W\d_]+")
 #: All but ASCII without controls, blanks, and composed Latin letters with a lower case of their own: for
 #: these alone the classes and the case rules of Python and of the tokenizer are the same.
 _OTHERS = re.compile("[^\t\n\v\f\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]")
-#: Marks side by side, which are one piece, and what may begin a contraction.
-_JOINED = re.compile(r"[!-/:-@\[-`{-~]{2}|'")
+#: Marks side by side, which are one piece; written as two classes, of which the first is searched for fast.
+_JOINED = re.compile(r"[!-/:-@\[-`{-~][!-/:-@\[-`{-~]")
 _TRIED = ("Onion", "Forêt", "ŒUVRE", "straße")
 _WORKER: dict[str, "Encoder"] = {}
 
@@ -37,21 +37,25 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(others)}
 
 
-class Memory:
-    """Ids by text; entries unused while a whole generation filled up are forgotten."""
+class Memory(dict):
+    """Ids by text, made when first asked for; entries unused while a whole generation filled up are forgotten."""
 
-    def __init__(self) -> None:
-        self.new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._make, self._old = make, {}
 
-    def missing(self, texts: set[str]) -> set[str]:
-        """The texts that are not known; those that are can be found in ``new`` until the next call."""
-        if len(self.new) > CACHE_ENTRIES:
-            self.new, self._old = {}, self.new
-        new, old = self.new, self._old
-        texts = {t for t in texts if t not in new}
-        new.update((t, old[t]) for t in texts if t in old)
-        return {t for t in texts if t not in old}
+    def __missing__(self, text: str) -> bytes:
+        found = self._old.get(text)
+        if found is None:
+            found = self._make(text)
+        self[text] = found
+        return found
+
+    def turn(self) -> None:
+        """A new generation, if this one is full."""
+        if len(self) > CACHE_ENTRIES:
+            self._old = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -73,7 +77,7 @@ class Encoder:
         self._model = self._library.model
         self._letters = _byte_letters()
         self._added = [t.content.lower() for t in self._library.get_added_tokens_decoder().values()]
-        self._pieces = Memory()
+        self._pieces = Memory(lambda p: self._run(p) if p.isalpha() else self._encode([p])[0])
         a, b, both = self._encode(["Onion,", "tree.", "onion, tree.\n"])
         self._by_word = a + b == both and [self._run(w.lower()) for w in _TRIED] == self._encode(list(_TRIED))
 
@@ -88,19 +92,13 @@ class Encoder:
         found = self._model.tokenize(low)
         return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
-    def _learn(self, pieces: set[str]) -> None:
-        new, known = self._pieces.missing(pieces), self._pieces.new
-        known.update((p, self._run(p)) for p in new if p.isalpha())
-        rest = [p for p in new if p not in known]
-        known.update(zip(rest, self._encode(rest), strict=True))
-
     def _split(self, text: str) -> list[str] | None:
         """A text's pieces and, between some of them, nothing; None for a text that the library takes whole."""
         low = text.lower()
         if _OTHERS.search(text) or any(t in low for t in self._added):
             return None
         low = low.replace("\n", " ")
-        if not _JOINED.search(low):  # a comma or full stop is a piece of its own
+        if "'" not in low and not _JOINED.search(low):  # no contraction; a comma or full stop is a piece of its own
             return low.replace(",", " , ").replace(".", " . ").split(" ")
         return [p for w in low.split(" ") for p in ([w] if w.isalpha() or "'" in w else _PIECES.findall(w))]
 
@@ -108,10 +106,10 @@ class Encoder:
         if not self._by_word:
             return self._encode(texts)
         pieces = [self._split(t) for t in texts]
-        self._learn(set().union(*(p for p in pieces if p)))
+        self._pieces.turn()
         whole = [i for i, p in enumerate(pieces) if p is None]
         found = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
-        get = self._pieces.new.__getitem__
+        get = self._pieces.__getitem__
         return [found[i] if p is None else b"".join(map(get, p)) for i, p in enumerate(pieces)]
 
 
