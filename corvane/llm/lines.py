@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,10 @@ from corvane.llm.storage import discard, stored
 
 #: Differing bits up to which fingerprints are candidates, and the least edit similarity of a link.
 DISTANCE, SIMILARITY = 3, 0.8
-#: Of 5 blocks, 3 or fewer differing bits leave 2 equal: 10 keys of about 25 bits. The lines of a
-#: key with more than ``MANY`` are keyed again by 5 of 8 blocks: 56 keys of 40 bits.
-BLOCKS, FINE_BLOCKS, MANY = 5, 8, 32
+#: Of 6 blocks, 3 or fewer differing bits leave 3 equal: 20 keys of about 32 bits, in which unrelated
+#: lines seldom meet up to billions of them. The lines of a key with more than ``MANY`` are keyed again by 5
+#: of 8 blocks: 56 keys of 40 bits.
+BLOCKS, FINE_BLOCKS, MANY = 6, 8, 32
 #: Times that a crowded key's lines are compared with one drawn by a hash.
 TURNS = 2
 #: Eight counters of 8 bits to a long count the bits of lines of up to so many words.
@@ -34,27 +36,31 @@ _FEW = 24
 _TEXT = {"compression": "zstd"}
 
 
-def normalised(text: Column) -> Column:
-    """Lower case, blanks within a line as one space; ends of lines are trimmed after the split.
+def normalised(low: Column) -> Column:
+    """Blanks within a line of a text in lower case as one space; ends of lines are trimmed after the split.
 
     Most texts have no blanks to join: the regular expression is for the others.
     """
-    low = F.lower(text)
     odd = low.contains("  ")
     for blank in "\t\x0b\f\r":
         odd = odd | low.contains(blank)
     return F.when(odd, F.regexp_replace(low, r" [ \t\x0B\f\r]+|[\t\x0B\f\r][ \t\x0B\f\r]*", " ")).otherwise(low)
 
 
+def _document(id_col: str) -> Column:
+    """The identifier, null as the smallest long."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
+
+
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc (null as the smallest long), key (the text's hash), pos and norm of every line that is not blank."""
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
-    lines = docs.select(doc.alias("doc"), F.xxhash64(text_col).alias("key"), F.posexplode(F.split(normalised(F.col(text_col)), "\n")).alias("pos", "line"))
+    texts = docs.select(_document(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.lower(text_col).alias("low"))  # a column of its own is worked out once
+    lines = texts.select("doc", "key", F.posexplode(F.split(normalised(F.col("low")), "\n")).alias("pos", "line"))
     return lines.select("doc", "key", "pos", F.trim("line").alias("norm")).where("norm <> ''")
 
 
 def _name(norm: str) -> Column:
-    """128 bits of a line's SHA-256, by which occurrences find their line again."""
+    """128 bits of a line's SHA-256, by which lines are told apart."""
     return F.unhex(F.substring(F.sha2(norm, 256), 1, 32))
 
 
@@ -63,32 +69,38 @@ def _place() -> Column:
     return (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("pos")).cast("decimal(38,0)")
 
 
-def _counted(words: DataFrame, sums: list[Column]) -> DataFrame:
-    return words.groupBy("line", "n").agg(*sums, F.count("*").alias("words"))
+def _packed(hashes: Column) -> Column:
+    """c0 to c7: how many of up to ``NARROW`` hashes have each bit, eight counters to a long; bit 8i + b is the i-th of cb."""
+    none = F.struct(*[F.lit(0).cast("long").alias(f"c{b}") for b in range(8)])
+    return F.aggregate(hashes, none, lambda s, h: F.struct(*[(s[f"c{b}"] + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(_ONES))).alias(f"c{b}") for b in range(8)]))
+
+
+def _wide(hashes: Column) -> Column:
+    """The majority of any number of hashes: counted by ``NARROW`` at a time, summed up in 64 longs."""
+    parts = F.transform(F.sequence(F.lit(0), F.size(hashes) - 1, F.lit(NARROW)), lambda i: F.slice(hashes, i + 1, NARROW))
+    lane = lambda c, b: F.call_function("shiftrightunsigned", F.array(*[c[f"c{i}"] for i in range(8)])[b % 8], (b - b % 8)).bitwiseAND(F.lit(255).cast("long"))
+    sums = F.aggregate(F.transform(parts, _packed), F.array_repeat(F.lit(0).cast("long"), 64), lambda s, c: F.transform(s, lambda n, b: n + lane(c, b)))
+    ones = F.transform(sums, lambda n, b: F.when(2 * n > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(ones, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """line, n and bits, the SimHash of its different words, of each row of line, n, n_words and norm.
+    """``lines`` with bits, the SimHash of the different words of norm.
 
-    Each different word has one vote, so a separator that fills half a line does not decide. A
-    line's words are counted by the task that reads it, and only its counts are shuffled. Short lines
-    have eight counters to a long; their majorities are read off by adding what makes a counter's
-    top bit one from half of the words on.
+    Each different word has one vote, so a separator that fills half a line does not decide. A line's words
+    are counted where it stands, so they make no rows and no shuffle. Lines of few words have eight counters to a
+    long; their majorities are read off by adding what makes a counter's top bit one from half of the words on.
     """
-    words = lines.select("line", "n", "n_words", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).withColumn("h", F.xxhash64("word"))
-    short = _counted(words.where(F.col("n_words") <= NARROW), [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(_ONES))).alias(f"c{b}") for b in range(8)])
-    half = F.shiftright("words", 1)
+    hashed = lines.withColumn("hashes", F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))))
+    counted = hashed.withColumn("c", F.when(F.size("hashes") <= NARROW, _packed(F.col("hashes"))))
+    half = F.shiftright(F.size("hashes").cast("long"), 1)
     lift = F.lit(_LOW_ONES) * (F.lit(127).cast("long") - half)
     bits = F.lit(0).cast("long")
     for b in range(8):
-        tops = (F.col(f"c{b}").bitwiseAND(F.lit(_LOW)) + lift).bitwiseAND(F.lit(_LOW_TOPS))  # the highest counter apart: no sum overflows
-        highest = F.when(F.shiftrightunsigned(f"c{b}", 56) > half, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+        tops = (F.col(f"c.c{b}").bitwiseAND(F.lit(_LOW)) + lift).bitwiseAND(F.lit(_LOW_TOPS))  # the highest counter apart: no sum overflows
+        highest = F.when(F.shiftrightunsigned(f"c.c{b}", 56) > half, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
         bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(tops, 7).bitwiseOR(F.shiftleft(highest, 56)), b))
-    long = _counted(words.where(F.col("n_words") > NARROW), [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"c{b}") for b in range(64)])
-    wide = F.lit(0).cast("long")
-    for b in range(64):
-        wide = wide.bitwiseOR(F.when(2 * F.col(f"c{b}") > F.col("words"), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0)).cast("long"))
-    return short.select("line", "n", bits.alias("bits")).unionAll(long.select("line", "n", wide.alias("bits")))
+    return counted.withColumn("bits", F.when(F.col("c").isNotNull(), bits).otherwise(_wide(F.col("hashes")))).drop("hashes", "c")
 
 
 def _masks(blocks: int) -> list[int]:
@@ -106,14 +118,17 @@ def _keyed(prints: DataFrame, blocks: int) -> DataFrame:
 def _shared(prints: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of close lines that are alone in a key; and key, line, bits, held, and the most frequent line with its bits, of keys that more lines have.
 
-    Most keys have one line, and most others two: four numbers of a key tell them, the exclusive or of the bits being
-    their difference. Only rows of the few larger keys are gathered.
+    Most keys have one line: four numbers of a key tell them from those of two, the exclusive or of the bits being
+    their difference. Only rows of the few larger keys are gathered. No key is counted before the shuffle, where hardly two of a task are equal.
     """
-    counted = stored(_keyed(prints, blocks).groupBy("key").agg(F.count("*").alias("held"), F.min("line").alias("a"), F.max("line").alias("b"), F.bit_xor("bits").alias("apart")).where("held > 1"))
-    two = counted.where((F.col("held") == 2) & (F.bit_count("apart") <= DISTANCE)).select("a", "b")
-    larger = _keyed(prints, blocks).join(counted.where("held > 2").select("key", "held"), "key")
+    keyed = _keyed(prints, blocks)
+    sums = keyed.select("key", "line", "bits").repartition("key").groupBy("key").agg(F.count("*").alias("held"), F.min("line").alias("a"), F.max("line").alias("b"), F.bit_xor("bits").alias("apart"))
+    counted = stored(sums.where((F.col("held") > 2) | ((F.col("held") == 2) & (F.bit_count("apart") <= DISTANCE))))
+    larger = stored(counted.where("held > 2").select("key", "held"))  # a table of its own: it is small enough to be sent to the rows, mostly
     first = Window.partitionBy("key").orderBy(F.desc("n"), "line")
-    return two, larger.select("key", "line", "bits", "n", "held", F.first("line").over(first).alias("centre"), F.first("bits").over(first).alias("centre_bits"))
+    return counted.where("held = 2").select("a", "b"), keyed.join(larger, "key").select(
+        "key", "line", "bits", "n", "held", F.first("line").over(first).alias("centre"), F.first("bits").over(first).alias("centre_bits")
+    )
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -126,7 +141,8 @@ def _common(a: Column, b: Column) -> Column:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of lines whose edit similarity is high enough; edits beyond what it allows are not counted out.
 
-    What two lines begin and end with alike takes no edits and is left out before they are counted.
+    What two lines begin and end with alike takes no edits and is left out before they are counted. Nor are they counted
+    where replacing the words that differ, one by one, takes no more than is allowed.
     """
     of = lambda c: texts.select(F.col("line").alias(c), F.col("norm").alias(f"n{c}"), F.char_length("norm").alias(f"l{c}"))
     allowed = F.floor((1 - similarity) * F.greatest("la", "lb") + 1e-9).cast("int")
@@ -138,16 +154,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         at = _common(x["a"], x["b"]) + 1
         return F.struct(F.reverse(F.substr(x["a"], at)).alias("a"), F.reverse(F.substr(x["b"], at)).alias("b"), x["allowed"].alias("allowed"))
 
+    def settled(x: Column) -> Column:
+        """Empty texts in place of those that need no count: all characters replaced, or those of the words that differ, are no more than is allowed."""
+        one, two = F.split(x["a"], " "), F.split(x["b"], " ")
+        longer = lambda p, q: F.greatest(F.char_length(p), F.char_length(q))
+        worded = F.aggregate(F.zip_with(one, two, lambda p, q: F.when(p == q, F.lit(0)).otherwise(longer(p, q))), F.lit(0), lambda s, n: s + n)
+        few = (longer(x["a"], x["b"]) <= x["allowed"]) | ((F.size(one) == F.size(two)) & (worded <= x["allowed"]))
+        left = F.when(few, F.struct(F.lit("").alias("a"), F.lit("").alias("b"))).otherwise(F.struct(x["a"].alias("a"), x["b"].alias("b")))
+        return F.struct(left.alias("left"), x["allowed"].alias("allowed"))
+
+    def flat(x: Column) -> Column:
+        return F.struct(x["left"]["a"].alias("a"), x["left"]["b"].alias("b"), x["allowed"].alias("allowed"))
+
+    def few(x: Column) -> Column:
+        """Few edits are tried first; -1 if there are more."""
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"), x["allowed"].alias("allowed"), F.levenshtein(x["a"], x["b"], _FEW).alias("found"))
+
     def edits(x: Column) -> Column:
-        """Few edits are tried first. levenshtein takes a constant threshold only, so allowed edits that are about as many go together."""
+        """levenshtein takes a constant threshold only, so allowed edits that are about as many go together."""
         found = F.levenshtein(x["a"], x["b"])
         for bound in reversed(_BOUNDS):
             found = F.when(x["allowed"] <= bound, F.levenshtein(x["a"], x["b"], bound)).otherwise(found)
-        return F.coalesce(F.nullif(F.levenshtein(x["a"], x["b"], _FEW), F.lit(-1)), found)
+        return F.when(x["found"] >= 0, x["found"]).otherwise(found)
 
     # a lambda's argument is worked out once, however often it is used
     counted = F.array(F.struct(F.col("na").alias("a"), F.col("nb").alias("b"), "allowed"))
-    for step in (beyond, beyond, edits):
+    for step in (settled, flat, beyond, beyond, settled, flat, few, edits):
         counted = F.transform(counted, step)
     within = F.transform(counted, lambda n: n.between(0, F.col("allowed")))[0]
     return stored(joined.where(within).select("a", "b"))
@@ -157,23 +189,34 @@ def _near(x: str, y: str) -> Column:
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= DISTANCE
 
 
-def _in_groups(shared: DataFrame, links: DataFrame) -> DataFrame:
+def _in_groups(shared: DataFrame, group: DataFrame) -> DataFrame:
     """The rows of ``shared`` with the component of the line so far, of keys whose lines are in several components."""
-    group = components(links)
     grouped = shared.join(group, shared["line"] == group["node"], "left").withColumn("group", F.coalesce("component", "line")).drop("node", "component")
     whole = Window.partitionBy("key")
     several = F.min("group").over(whole) != F.max("group").over(whole)
     return stored(grouped.withColumn("several", several).where("several").drop("several"))
 
 
-def line_links(prints: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links between different lines that connect all of high edit similarity whose fingerprints are close.
+def _merged(group: DataFrame, links: DataFrame) -> DataFrame:
+    """node and component of all that ``group`` or a further link names: only components that such links join are gone through again."""
+    for c in ("a", "b"):
+        ends = group.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        links = links.join(ends, c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    links = stored(links)
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(group, "node", "left_anti")
+    named = group.select("node", "component").unionAll(new.select("node", F.col("node").alias("component")))
+    joined = components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return stored(named.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
+
 
-    A key with many lines gives way to finer ones, which any two close fingerprints share as well.
-    Lines of one key are compared with the key's most frequent line first, those of a crowded key
-    then with others drawn by a hash, ``TURNS`` times. What is connected by then needs no more
-    comparison, so only lines of different components are compared with all lines of the key. Texts are
-    fetched once, for the lines that share a key with another.
+def line_groups(prints: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+    """node and component (its smallest line) of lines that links of high edit similarity and close fingerprints connect with others.
+
+    ``prints`` has line, n and bits; ``texts_of`` gives line and norm of the lines asked for. A key with many lines gives
+    way to finer ones, which any two close fingerprints share as well. Lines of one key are compared with the key's
+    most frequent line first, those of a crowded key then with others drawn by a hash, ``TURNS`` times. What is connected
+    by then needs no more comparison, so only lines of different components are compared with all lines of the key.
+    Texts are fetched once, for the lines that share a key with another.
     """
     two, coarse = _shared(prints, BLOCKS)
     coarse = stored(coarse)
@@ -184,10 +227,9 @@ def line_links(prints: DataFrame, lines: DataFrame, similarity: float = SIMILARI
     ordered = lambda rows: rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     around = shared.where("line <> centre").where(_near("bits", "centre_bits")).select(F.col("line").alias("a"), F.col("centre").alias("b"))
     tried = stored(ordered(around.unionAll(two).unionAll(fine_two)))
-    held = shared.select("line").unionAll(tried.select(F.explode(F.array("a", "b")))).distinct()
-    texts = stored(lines.join(held, "line", "left_semi").select("line", "norm"), **_TEXT)
-    links = _verified(tried, texts, similarity)
-    rows = _in_groups(shared.drop("centre", "centre_bits"), links)
+    texts = stored(texts_of(stored(shared.select("line").unionAll(tried.select(F.explode(F.array("a", "b")))).distinct())), **_TEXT)
+    group = stored(components(_verified(tried, texts, similarity)))
+    rows = _in_groups(shared.drop("centre", "centre_bits"), group)
     for turn in range(TURNS):
         many = rows.where(F.col("held") > MANY)
         if many.isEmpty():
@@ -196,8 +238,10 @@ def line_links(prints: DataFrame, lines: DataFrame, similarity: float = SIMILARI
         placed = many.select("line", "bits", "group", *[F.first(c).over(drawn).alias(f"centre_{c}") for c in ("line", "bits", "group")])
         apart = placed.where("group <> centre_group").where(_near("bits", "centre_bits"))
         fresh = stored(ordered(apart.select(F.col("line").alias("a"), F.col("centre_line").alias("b"))).join(tried, ["a", "b"], "left_anti"))
-        tried, links = tried.unionAll(fresh), links.unionAll(_verified(fresh, texts, similarity))
-        rows = _in_groups(rows.drop("group"), links)
+        if fresh.isEmpty():
+            continue
+        tried, group = tried.unionAll(fresh), _merged(group, _verified(fresh, texts, similarity))
+        rows = _in_groups(rows.drop("group"), group)
     # the key's largest line counts as its centre: of two components one at least is not the centre's
     centre = Window.partitionBy("key").orderBy(F.desc("n"), "line")
     others = rows.withColumn("main", F.first("group").over(centre)).where("group <> main")
@@ -205,22 +249,27 @@ def line_links(prints: DataFrame, lines: DataFrame, similarity: float = SIMILARI
     pairs = others.select("key", F.col("line").alias("a"), "bits", "group").join(other, "key").where("group <> elsewhere").where(_near("bits", "other"))
     found = _verified(ordered(pairs).join(tried, ["a", "b"], "left_anti"), texts, similarity)
     discard(texts)
-    return links.unionAll(found)
+    return _merged(group, found)
 
 
-def _answers(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def _answers(docs: DataFrame, occurrences: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """name and kept (the place that stays) of every line that occurs, itself or in its group, more than once."""
-    occurrences = _occurrences(docs, id_col, text_col)
-    lines = occurrences.groupBy("norm").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
-    lines = stored(lines.select(F.monotonically_increasing_id().alias("line"), _name("norm").alias("name"), "first", "n", F.size(F.split("norm", " ")).alias("n_words"), "norm"), **_TEXT)
-    prints = stored(fingerprints(lines.select("line", "n", "n_words", "norm")))
-    group = components(line_links(prints, lines, similarity))
+    lines = occurrences.groupBy("name").agg(F.min(_place()).alias("first"), F.count("*").alias("n"), F.min("bits").alias("bits"))
+    lines = stored(lines.select(F.monotonically_increasing_id().alias("line"), "name", "first", "n", "bits"))
+
+    def texts_of(held: DataFrame) -> DataFrame:
+        """The lines' texts, cut anew out of the documents that they stand in first."""
+        wanted = stored(lines.join(held, "line", "left_semi").select("line", "name", "first", ((F.col("first") - F.pmod("first", F.lit(1 << 31))) / (1 << 31)).cast("long").alias("doc")))
+        there = docs.withColumn("doc", _document(id_col)).join(wanted.select("doc").distinct(), "doc", "left_semi").drop("doc")
+        found = _occurrences(there, id_col, text_col).withColumn("first", _place()).join(wanted.drop("doc"), "first").where(_name("norm") == F.col("name"))
+        return found.select("line", "norm").dropDuplicates(["line"])
+
+    group = line_groups(lines.select("line", "n", "bits"), texts_of, similarity)
     named = lines.select("line", "name", "first", "n").join(group, lines["line"] == group["node"], "left").where("n > 1 OR component IS NOT NULL")
     named = named.select("name", "first", "n", F.coalesce("component", "line").alias("group"))
     kept = named.groupBy("group").agg(F.min("first").alias("kept"))
     answers = stored(named.select("name", "group").join(kept, "group").select("name", "kept"))
     discard(lines)
-    discard(prints)
     return answers
 
 
@@ -238,12 +287,13 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     one place stays in each, and rows that repeat an identifier and text get the same answer. An
     empty table gives no rows. Other columns are not read.
     """
-    answers = _answers(docs, similarity, id_col, text_col)
-    named = _occurrences(docs, id_col, text_col).select("doc", "key", "pos", _name("norm").alias("name"))
-    gone = named.join(answers, "name").where(_place() != F.col("kept")).select("doc", "key", "pos")
+    found = fingerprints(_occurrences(docs, id_col, text_col)).select("doc", "key", "pos", _name("norm").alias("name"), "bits")
+    occurrences = stored(found)
+    answers = _answers(docs, occurrences, similarity, id_col, text_col)
+    gone = occurrences.join(answers, "name").where(_place() != F.col("kept")).select("doc", "key", "pos")
     removed = stored(gone.groupBy("doc", "key").agg(F.collect_set("pos").alias("removed")))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), _document(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")
     )
     joined = rows.join(removed, ["doc", "key"], "left")
     lines = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))

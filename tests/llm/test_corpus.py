@@ -592,3 +592,18 @@ def test_one_document_of_many_equal_lines(spark):
     began = time.time()
     row = lines.dedup_lines(docs).first()
     assert (row.n_lines, row.n_removed, row.kept_text.strip()) == (100_001, 99_999, "same line here") and time.time() - began < 120
+
+
+def test_unlike_lines_share_no_key(spark):
+    """Unrelated fingerprints are not gathered, so what is gathered does not grow with the square of the lines."""
+    prints = spark.range(500_000).selectExpr("id AS line", "1L AS n", "xxhash64(id) AS bits")
+    two, larger = lines._shared(prints, lines.BLOCKS)
+    assert two.count() == 0 and larger.count() < 10
+
+
+def test_components_go_on_from_earlier_ones(spark):
+    draw = random.Random(5)
+    first, more = ([(draw.randrange(60), draw.randrange(60, 120)) for _ in range(25)] for _ in range(2))
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = lines._merged(components.components(table(first)), table(more))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, components.components(table(first + more)).collect()))
